@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import sharding, simhash
+from cairn.llm import bpe, sharding, simhash, winnow
 from cairn.llm.common import table
 
+#: The folder of the public vocabulary files; they are never copied into the repository.
+TOKENIZERS = os.environ.get("CAIRN_TOKENIZERS", "/opt/tokenizers")
+WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -22,5 +35,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_simhash_near_dedup, op10_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_document_fingerprints, op4_bpe_encoding, op7_simhash_near_dedup, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
