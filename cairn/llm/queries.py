@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, chat, sharding, simhash, winnow
+from cairn.llm import bpe, chat, quality, sharding, simhash, winnow
 from cairn.llm.common import table
 
 #: The folder of the public vocabulary files; they are never copied into the repository.
@@ -22,6 +22,10 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE))
 
@@ -42,5 +46,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_document_fingerprints, op4_bpe_encoding, op5_chat_formatting, op7_simhash_near_dedup, op10_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_document_fingerprints, op2_quality_classifier, op4_bpe_encoding, op5_chat_formatting, op7_simhash_near_dedup, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
