@@ -113,7 +113,8 @@ class Network:
         g = {"w3": seen.T @ dz, "b3": dz.sum(keepdims=True)}
         dseen, n = dz[:, None] * p["w3"], np.diff(first)
         text = np.repeat(np.arange(len(n)), n)
-        top = best == seen[text, SECOND:]
+        top = (best == seen[text, SECOND:]).astype(np.float32)
+        top /= np.add.reduceat(top, first[:-1])[text]  # chunks that tie share
         dbest = dseen[text, :SECOND] / n[text, None] + dseen[text, SECOND:] * top
         h2, mean, h1 = kept["h2"], kept["mean"], kept["h1"]
         dh2 = np.zeros_like(h2)

@@ -34,12 +34,12 @@ def test_gradients():
         flat = net.p[k].reshape(-1)
         for at in r.choice(flat.size, min(6, flat.size), replace=False) if k != "code" else [116 * q.CODE + 1, 33 * q.CODE]:
             was = flat[at]
-            flat[at] = was + 1e-3
+            flat[at] = was + 1e-6
             up = loss()
-            flat[at] = was - 1e-3
+            flat[at] = was - 1e-6
             down = loss()
             flat[at] = was
-            assert abs((up - down) / 2e-3 - g[k].reshape(-1)[at]) < 2e-3, k
+            assert abs((up - down) / 2e-6 - g[k].reshape(-1)[at]) < 1e-4, k
 
 
 def corpus(spark):
