@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, chat, quality, sharding, simhash, winnow
+from cairn.llm import bpe, chat, decontaminate, quality, sharding, simhash, winnow
 from cairn.llm.common import table
 
 #: The folder of the public vocabulary files; they are never copied into the repository.
@@ -26,6 +26,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE))
 
@@ -46,5 +50,33 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_document_fingerprints, op2_quality_classifier, op4_bpe_encoding, op5_chat_formatting, op7_simhash_near_dedup, op10_sharding)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_document_fingerprints, op2_quality_classifier, op3_benchmark_decontamination, op4_bpe_encoding, op5_chat_formatting, op7_simhash_near_dedup, op10_sharding)}
+_MASKS = [[i + 1 for i, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS]
+_SEEDS = " UNION ALL ".join(
+    f"SELECT id, t, pos, {k} AS mask, list_transform({places}, lambda i: t[pos + i]) AS seed FROM (SELECT id, t, unnest(range(len(t) - {len(m) - 1})) AS pos FROM {{0}})"
+    for k, (places, m) in enumerate(zip(_MASKS, decontaminate.MASKS, strict=True))
+)
+_TOKENS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_WIDTH = f"least({decontaminate.WINDOW}, len(b.t))"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_benchmark_decontamination": f"""
+WITH d AS (SELECT doc_id AS id, {_TOKENS} AS t FROM documents),
+b AS (SELECT min(item_id) AS id, t FROM (SELECT item_id, {_TOKENS} AS t FROM benchmark) GROUP BY t),
+ds AS ({_SEEDS.format("d")}), bs AS ({_SEEDS.format("b")}),
+hits AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.pos - bs.pos AS offs FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed),
+placed AS (
+  SELECT h.doc_id, h.item_id, offs, {_WIDTH} AS width,
+         unnest(range(greatest(-offs, 0), least(len(b.t), len(d.t) - offs) - {_WIDTH} + 1)) AS s, d.t AS dt, b.t AS bt
+  FROM hits h JOIN d ON d.id = h.doc_id JOIN b ON b.id = h.item_id),
+counted AS (
+  SELECT doc_id, item_id, width, s + offs AS doc_token,
+         list_sum(list_transform(range(width), lambda i: CASE WHEN dt[s + offs + i + 1] = bt[s + i + 1] THEN 1 ELSE 0 END)) AS n
+  FROM placed),
+good AS (
+  SELECT doc_id, item_id, doc_token, width, n, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, doc_token) AS k
+  FROM counted WHERE n >= ceil(width * {decontaminate.LEAST} / {decontaminate.WINDOW}.0))
+SELECT doc_id, item_id, CAST(doc_token AS INTEGER) AS doc_token, CAST(width AS INTEGER) AS n_tokens, CAST(n AS INTEGER) AS n_equal
+FROM good WHERE k = 1
+""",
+}
