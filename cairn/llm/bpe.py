@@ -16,6 +16,8 @@ their ids; repeated rows are encoded each; null ids pass through; an empty table
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -23,7 +25,6 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,14 +33,23 @@ from cairn.llm.common import id_text
 
 #: Where a piece ends, the last symbol is another one: its character is moved by this much, and by none elsewhere.
 END = 0x8000
-#: Pieces kept per worker process; beyond that the store starts anew.
-REMEMBERED = 150_000
+#: Pieces kept per worker process, twice: a full store becomes the old one, from which what is met again returns.
+REMEMBERED = 250_000
 ROWS = 256
 
-#: The vocabulary file's own split pattern (fixed values of the format).
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Code points that NFC leaves alone and that both libraries class and lower-case alike.
-PLAIN = regex.compile(r"[\x00-\x1b\x20-\x84\x86-ɏ‐-‧‰-⁞€]*")
+PLAIN = r"\x00-\x1b\x20-\x84\x86-\u024f\u2010-\u2027\u2030-\u205e\u20ac"
+
+
+def split_pattern() -> re.Pattern:
+    """The vocabulary file's split (contractions; letters; one number; others), its classes written out for plain code points."""
+    classed = {"L": "", "N": ""}
+    for c in filter(re.compile(f"[{PLAIN}]").match, map(chr, range(0x20AD))):
+        kind = unicodedata.category(c)[0]
+        if kind in classed:
+            classed[kind] += re.escape(c)
+    letter, number = classed["L"], classed["N"]
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^\t-\r \x85\xa0{letter}{number}]+")
 
 
 def byte_characters() -> list[str]:
@@ -73,11 +83,12 @@ class Vocabulary:
         for t, i in self.id_of.items():
             self.suffixes.add_word(t, (len(t), i))
         self.suffixes.make_automaton()
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.pieces = regex.compile(SPLIT)
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.plain, self.pieces = re.compile(f"[{PLAIN}]*"), split_pattern()
         self.bytes = byte_characters()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def merged(self, symbols: str) -> list[int]:
         """The merges applied by rank, leftmost first: the definition that pairs are tested by."""
@@ -110,13 +121,13 @@ class Vocabulary:
 
     def _remember(self, piece: str) -> tuple[int, ...]:
         if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        out = self.encode_piece("".join([self.bytes[b] for b in piece.encode()]))
+            self.old, self.known = self.known, {}
+        out = self.old.get(piece) or self.encode_piece("".join([self.bytes[b] for b in piece.encode()]))
         self.known[piece] = out
         return out
 
     def _ids(self, text: str) -> list[tuple[int, ...]]:
-        if PLAIN.fullmatch(text):
+        if self.plain.fullmatch(text):
             get, make = self.known.get, self._remember
             return [get(p) or make(p) for p in self.pieces.findall(text.lower())]
         found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
