@@ -107,8 +107,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """Every segment of every text: id, rid, start, count, minimiser, segment."""
-    schema = "id long, rid long, start int, count int, minimiser long, segment long"
+    """Every segment of every text: id, rid, start, count, times, minimiser, segment.
+
+    In a periodic stretch equal segments follow one another, count words apart: they are one row with times over 1.
+    """
+    schema = "id long, rid long, start int, count int, times int, minimiser long, segment long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,14 +120,17 @@ def occurrences(rows: DataFrame) -> DataFrame:
                 starts, ends, first = words_of(raw, at)
                 start, count, low, whole = segments(_spans(raw, starts, ends), first)
                 row = np.searchsorted(first, start, "right") - 1
-                cols = [ids[lo:hi][row], rids[lo:hi][row], (start - first[row]).astype(np.int32), count.astype(np.int32), low, whole]
-                yield pa.record_batch([pa.array(x) for x in cols], ["id", "rid", "start", "count", "minimiser", "segment"])
+                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (low[1:] != low[:-1]) | (whole[1:] != whole[:-1]) | (start[1:] != start[:-1] + count[:-1])][: len(row)])
+                times = np.diff(np.r_[new, len(row)])
+                row, start, count, low, whole = (x[new] for x in (row, start, count, low, whole))
+                cols = [ids[lo:hi][row], rids[lo:hi][row], (start - first[row]).astype(np.int32), count.astype(np.int32), times.astype(np.int32), low, whole]
+                yield pa.record_batch([pa.array(x) for x in cols], ["id", "rid", "start", "count", "times", "minimiser", "segment"])
 
     return rows.select("id", "rid", "text").mapInArrow(run, schema)
 
 
 def repeated_minimisers(found: DataFrame) -> DataFrame:
-    """The rows whose minimiser has another row, in one pass over rows dealt and sorted by minimiser."""
+    """The rows whose minimiser has another row (or which stand for several), in one pass over rows dealt and sorted by minimiser."""
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,11 +138,11 @@ def repeated_minimisers(found: DataFrame) -> DataFrame:
         for batch in batches:
             if held is not None:
                 batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            key = batch.column(4).to_numpy()
+            key = batch.column(5).to_numpy()
             if not len(key):
                 continue
             same = key[1:] == key[:-1]
-            keep = np.r_[False, same] | np.r_[same, False]
+            keep = np.r_[False, same] | np.r_[same, False] | (batch.column(4).to_numpy() > 1)
             keep[0] |= held is not None and repeated
             repeated, held = bool(keep[-1]), batch.slice(len(key) - 1)
             yield batch.slice(0, len(key) - 1).filter(pa.array(keep[:-1]))
@@ -256,10 +262,11 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     """keyed rows -> id, rid, spans: the stretches of words to remove (start, end), for the texts that have any."""
     found = checkpoint(repeated_minimisers(occurrences(rows)))
     hot = found.groupBy("minimiser").agg(F.approx_count_distinct("segment").alias("different")).filter(F.col("different") > HOT).select("minimiser", F.lit(True).alias("hot"))
-    one = found.groupBy("minimiser", "segment").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "rid", "start", "count")).alias("place"))
+    one = found.groupBy("minimiser", "segment").agg(F.sum("times").alias("n"), F.min(F.struct("id", "rid", "start", "count")).alias("place"))
     one = one.join(hot, "minimiser", "left").select("place.*", "minimiser", "segment", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
     bounds = checkpoint(repeated_windows(extract(rows, one)))
-    spans = found.join(bounds, ["minimiser", "segment"]).select("id", "rid", F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + WINDOW).alias("end")).alias("span"))
+    end = F.col("start") + (F.col("times") - 1) * F.col("count") + F.col("last") + WINDOW
+    spans = found.join(bounds, ["minimiser", "segment"]).select("id", "rid", F.struct((F.col("start") + F.col("first")).alias("start"), end.alias("end")).alias("span"))
     return spans.groupBy("id", "rid").agg(F.sort_array(F.collect_set("span")).alias("spans"))
 
 

@@ -59,7 +59,7 @@ def corpus(seed=3):
             p = r.choice(passages)
             x[(at := r.randint(0, len(x))) : at] = p[r.randint(0, 3) :]
         docs.append((d, r.choice([" ", "\n", " \t "]).join(x)))
-    docs += [(200, None), (201, ""), (202, "a " * 300), (203, "a b " * 60), (204, " ".join(passages[4] * 2)), (None, docs[7][1]), (205, docs[7][1]), (9, docs[9][1]), (None, "x " * 40)]
+    docs += [(200, None), (201, ""), (202, "a " * 300), (203, "a b " * 60), (206, "b a " * 70 + "c"), (207, "q r s " * 33), (204, " ".join(passages[4] * 2)), (None, docs[7][1]), (205, docs[7][1]), (9, docs[9][1]), (None, "x " * 40)]
     return docs
 
 
