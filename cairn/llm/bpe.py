@@ -164,6 +164,6 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return id_text(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def digests(encoded: DataFrame, *keep: str) -> DataFrame:
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", *keep, F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -200,9 +200,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, train(docs, labels)).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that are predicted 1. A row's columns travel with its text, so no join is needed."""
-    model = train(docs, labels)
+def accepted(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """The rows of docs, all columns, that are predicted 1, by a model trained on `labelled` (or docs itself)."""
+    model = train(labelled if labelled is not None else docs, labels)
     weights = model.p if isinstance(model, Network) else float(model)
     at = docs.columns.index("text")
 

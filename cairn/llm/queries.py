@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, chat, decontaminate, lines, quality, sharding, simhash, substring, winnow
+from cairn.llm import bpe, chat, decontaminate, lines, lm, quality, sharding, simhash, substring, winnow
 from cairn.llm.common import table
 
 #: The folder of the public vocabulary files; they are never copied into the repository.
@@ -41,6 +41,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(more)))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_document_fingerprints, op2_quality_classifier, op3_benchmark_decontamination, op4_bpe_encoding, op5_chat_formatting, op7_simhash_near_dedup, op8_substring_dedup, op9_line_dedup, op10_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_document_fingerprints, op2_quality_classifier, op3_benchmark_decontamination, op4_bpe_encoding, op5_chat_formatting, op6_lm_scoring, op7_simhash_near_dedup, op8_substring_dedup, op9_line_dedup, op10_sharding)}
 _MASKS = [[i + 1 for i, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS]
 _SEEDS = " UNION ALL ".join(
     f"SELECT id, t, pos, {k} AS mask, list_transform({places}, lambda i: t[pos + i]) AS seed FROM (SELECT id, t, unnest(range(len(t) - {len(m) - 1})) AS pos FROM {{0}})"
