@@ -34,9 +34,7 @@ PORTION = 1 << 18
 #: The most rows of ids and short lists that are broadcast; beyond that, sides are dealt by key.
 BROADCAST_ROWS = 2_000_000
 
-_r = np.random.default_rng(20)
-_A = _r.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _r.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+_A = np.random.default_rng(20).integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def lines_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,23 +59,37 @@ def lines_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def shingles(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the shingles of each stretch, repeats included, and where each stretch's begin."""
-    chars = np.r_[np.flatnonzero((raw & 0xC0) != 0x80), len(raw)]
+    lead = (raw & 0xC0) != 0x80
+    chars = np.flatnonzero(lead)
+    point = raw[chars].astype(np.uint64)
+    if len(chars) < len(raw):  # the bytes that follow a character's first, 2 to 4 bytes in all
+        longer = np.r_[raw, np.zeros(3, np.uint8)]
+        more = np.ones(len(chars), bool)
+        for i in (1, 2, 3):
+            more &= (longer[chars + i] & 0xC0) == 0x80
+            point |= np.where(more, longer[chars + i], 0).astype(np.uint64) << np.uint64(8 * i)
+    gram, size, power = point + np.uint64(1), 1, np.uint64(0x9E3779B97F4A7C15)
+    while size < SHINGLE:
+        gram, size, power = gram[:-size] + gram[size:] * power, size * 2, power * power
     a, b = np.searchsorted(chars, start), np.searchsorted(chars, end)
     n = np.maximum(b - a - SHINGLE + 1, 1)
     first = np.r_[0, np.cumsum(n)]
+    short = np.flatnonzero(b - a < SHINGLE)
     i = np.arange(first[-1]) - np.repeat(first[:-1] - a, n)
-    stop = np.minimum(i + SHINGLE, np.repeat(b, n))
-    return _spans(raw, chars[i], chars[stop]), first
+    out = mix(gram)[np.minimum(i, max(len(gram) - 1, 0))] if len(gram) else np.zeros(first[-1], np.uint64)
+    out[first[short]] = _spans(raw, start[short], end[short])
+    return out, first
 
 
 def band_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """(stretches, BANDS) of 64-bit band values."""
     x = (hashes >> np.uint64(32)).astype(np.uint32)
+    own = np.empty_like(x)
     out = np.empty((len(first) - 1, BANDS), np.uint64)
     for band in range(BANDS):
         key = np.full(len(first) - 1, band, np.uint64)
         for j in range(band * ROWS, (band + 1) * ROWS):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x * _A[j] + _B[j], first[:-1]))
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(np.multiply(x, _A[j], out=own), first[:-1]))
         out[:, band] = key
     return out
 
@@ -149,8 +161,20 @@ def line_texts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "line long, said binary")
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is SIMILARITY or more."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < SIMILARITY * len(b):
+        return False
+    common = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
+    return common >= SIMILARITY * (len(a) + len(b) - common) - 1e-9
+
+
 def _forest(line: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Edges that join what chains of similar lines join; a component's edges form a tree of fan FAN."""
+    if len(line) == 2:
+        return [(int(line.max()), int(line.min()))] if alike(*sets) else []
     order = np.argsort(line).tolist()
     edges = []
     while order:
@@ -181,10 +205,12 @@ def verified(groups: DataFrame) -> DataFrame:
 
         def out(t: pa.Table) -> pa.RecordBatch:
             key, line = t.column(0).to_numpy(), t.column(1).to_numpy()
-            said = t.column(2).to_pylist()
+            _, one, which = np.unique(line, return_index=True, return_inverse=True)  # a line may be in several groups
+            said = t.column(2).take(pa.array(one)).to_pylist()
             at = np.r_[0, np.cumsum([len(x) for x in said])]
             hashes, first = shingles(np.frombuffer(b"".join(said), np.uint8), at[:-1], at[1:])
-            sets = [np.unique(hashes[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            own = [np.unique(hashes[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            sets = [own[i] for i in which.tolist()]
             edges, cuts = [], np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)].tolist()
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 edges += _forest(line[a:b], sets[a:b])
