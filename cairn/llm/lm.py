@@ -152,8 +152,9 @@ def fit(prepared: DataFrame, path: str) -> tuple[Attention, Spelling]:
     docs = prepared.filter("kind = 0 and not held_out and length(ids) > 0").withColumn("order", F.xxhash64("id", "rid"))
     docs = docs.select("order", "id", "rid", (F.length("ids") / 2).cast("int").alias("n"), "ids")
     start = F.pmod("order", F.greatest(F.col("n") - STRETCH, F.lit(0)) + 1).cast("int")
-    docs = docs.select("order", "id", "rid", F.substring("ids", start * 2 + 1, F.lit(2 * STRETCH)).alias("ids"))
-    picked = docs.orderBy("order", "id", "rid").limit(SAMPLE).collect()
+    below = -(2**63) + int(2**64 * min(1.0, SAMPLE / max(1, docs.count()))) - 1  # hashes below it: SAMPLE documents or so
+    docs = docs.filter(F.col("order") <= below).select("order", "id", "rid", F.substring("ids", start * 2 + 1, F.lit(2 * STRETCH)).alias("ids"))
+    picked = sorted(docs.limit(2 * SAMPLE).collect())
     if picked:
         texts = [np.r_[spelling.tokens(np.frombuffer(r.ids, np.uint16)), spelling.end] for r in picked]
         tokens, first = np.concatenate(texts), np.r_[0, np.cumsum([len(x) for x in texts])]
@@ -163,7 +164,8 @@ def fit(prepared: DataFrame, path: str) -> tuple[Attention, Spelling]:
         before[first[:-1]] = spelling.end
         seen = np.where(place >= begin[:, None], before[np.clip(place, 0, len(tokens) - 1)], model.v)
         scored, stop = place[:, T - S :], first[np.searchsorted(first, begin, "right")]
-        model.train(seen, np.where(scored < stop[:, None], model.own[tokens[np.clip(scored, 0, len(tokens) - 1)]], -1))
+        passes = min(8, max(3, 240_000 // len(seen)))
+        model.train(seen, np.where(scored < stop[:, None], model.own[tokens[np.clip(scored, 0, len(tokens) - 1)]], -1), passes)
     return model, spelling
 
 
@@ -204,7 +206,15 @@ def base_scores(rows: DataFrame, counts: DataFrame, n_train: int) -> DataFrame:
     spark = rows.sparkSession
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = total + n_train, distinct + (n_train > 0)
-    top = counts.orderBy(F.desc("n"), "key").limit(TOP_WORDS).toArrow()
+    # the least count that at most TOP_WORDS words reach, to a quarter of a power of two: a few rows, where a sort's limit would gather many
+    step = F.floor(F.log2("n") * 4).cast("int")
+    least, many = 1 << 30, 0
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        many += r["count"]
+        if many > TOP_WORDS:
+            break
+        least = r.step
+    top = counts.filter(step >= least).toArrow()
     order = np.argsort(key := top.column("key").to_numpy())
     shared = spark.sparkContext.broadcast((key[order].copy(), np.log10(top.column("n").to_numpy()[order] + 1.0)))
 

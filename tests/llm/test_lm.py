@@ -79,11 +79,11 @@ def lower(t):
     return re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")
 
 
-def corpus(n=300):
+def corpus():
     r = np.random.default_rng(8)
-    syllables = ["th", "er", "on", "an", "re", "in", "é", "ST"]
+    syllables = [a + b for a in "bdfgklmnprst" for b in ("a", "e", "on", "ir")] + ["é", "ST"]
     rows = []
-    for i in range(n):
+    for i in range(300):
         words = ["".join(r.choice(syllables, int(r.integers(1, 5)))) for _ in range(int(r.integers(0, 80)))]
         rows.append((i, r.choice([" ", "\n", "\t "]).join(words)))
     return [*rows, (-1, None), (-2, ""), (None, rows[1][1]), (-3, "你好 \U0001f600 <|endoftext|>"), (-4, "a" * 3000), (5, rows[5][1])]
@@ -106,10 +106,11 @@ def test_against_counts(spark, monkeypatch, top):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="the test tables are not here")
 def test_held_out_texts_are_likelier_than_by_word_counts(spark):
-    docs = corpus(3000)
-    got = lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), WORD_BPE).filter("held_out and doc_id >= 0").collect()
-    assert len(got) > 300 and sum(r.score for r in got) > sum(r.base_score for r in got)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id < 6000")
+    got = lm.score_documents(docs, WORD_BPE).filter("held_out").collect()
+    assert len(got) > 700 and sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
 def test_no_rows_and_no_training(spark):
