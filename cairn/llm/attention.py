@@ -96,24 +96,30 @@ class Attention:
         """(windows, T) token before each place -> log P(class) at the last S places."""
         p = self.p
         last = seen[:, T - S :]
-        q, k, v = p["q"][last], p["k"][seen], p["v"][seen]
-        bias = p["near"][np.minimum(self.distance, 0) + T - 1] + self.late
+        q, k = p["q"][last], p["k"][seen]
+        v = np.ones((*seen.shape, D + 1), p["v"].dtype)  # a column of ones gives the sum of the weights
+        v[..., :D] = p["v"][seen]
         a = q @ k.transpose(0, 2, 1)
         a *= np.float32(1 / np.sqrt(D))
-        a += bias
-        a += np.where(seen == self.v, np.float32(-1e4), np.float32(0))[:, None, :] if (seen[:, 0] == self.v).any() else np.float32(0)
-        a -= a.max(axis=2, keepdims=True)
+        a += p["near"][np.minimum(self.distance, 0) + T - 1] + self.late
+        if (seen[:, 0] == self.v).any():
+            a += np.where(seen == self.v, np.float32(-1e4), np.float32(0))[:, None, :]
+            a -= a.max(axis=2, keepdims=True)  # where all that is seen lies before the text
+        np.minimum(a, np.float32(60), out=a)
         np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        h = a @ v + p["r"][last]
+        h = a @ v
+        total = h[..., D:]
+        h = h[..., :D] / total
+        h += p["r"][last]
         z = h.reshape(-1, D) @ p["w"]
         z += self.log_share[np.minimum(last, self.v - 1).reshape(-1)]
-        z -= z.max(axis=1, keepdims=True)
+        np.minimum(z, np.float32(60), out=z)
         e = np.exp(z)
-        total = e.sum(axis=1, keepdims=True)
+        sums = e @ np.ones((e.shape[1], 1), e.dtype)
         if keep is not None:
-            keep |= {"last": last, "q": q, "k": k, "v": v, "a": a, "h": h, "prob": e / total}
-        return (z - np.log(total)).reshape(len(seen), S, -1)
+            keep |= {"last": last, "q": q, "k": k, "v": v[..., :D], "a": a / total, "h": h, "prob": e / sums}
+        z -= np.log(sums)
+        return z.reshape(len(seen), S, -1)
 
     def log_probs(self, tokens: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
         """log10 P of every token of sequences that lie one after another; `end` stands before each."""
