@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import small_batches
+
 BUDGET, HISTORY = 1024, 256
 #: Start and end of a turn by role; any other role is named inside it: [ROLE]name[TEXT]text[/ROLE].
 MARKS = {"system": ("<<SYS>>\n", "\n<</SYS>>"), "user": ("[INST] ", " [/INST]"), "assistant": ("<s>", "</s>")}
@@ -111,6 +113,7 @@ def read_window(text: str, repeated: int) -> list[tuple[str, str]]:
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
+    small_batches(rows.sparkSession)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

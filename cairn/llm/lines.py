@@ -29,6 +29,8 @@ from cairn.llm.substring import _spans, keyed
 SHINGLE, BANDS, ROWS = 8, 10, 4
 SIMILARITY = 0.8
 BLOCK, FAN = 1024, 32
+#: Lines that a task remembers, to post each but once.
+SEEN = 100_000
 #: Bytes of text worked on at once.
 PORTION = 1 << 18
 #: The most rows of ids and short lists that are broadcast; beyond that, sides are dealt by key.
@@ -104,17 +106,20 @@ def _portions(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np
 
 
 def banded(rows: DataFrame) -> DataFrame:
-    """key, line: the band values of every line's hash; a line repeated within a batch counts once there."""
+    """key, line: the band values of every line's hash; a line that a task has just seen is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.uint64)
         for batch in batches:
-            seen = np.zeros(0, np.uint64)
+            if len(seen) > SEEN:
+                seen = seen[:0]
             for _, _, raw, at in _portions(batch, 0):
                 _, _, start, end = lines_of(raw, at)
                 full = end > start
                 line, i = np.unique(_spans(raw, start[full], end[full]), return_index=True)
-                new = ~np.isin(line, seen)
-                seen = np.union1d(seen, line)
+                near = np.minimum(np.searchsorted(seen, line), max(len(seen) - 1, 0))
+                new = seen[near] != line if len(seen) else np.ones(len(line), bool)
+                seen = np.union1d(seen, line[new])
                 line, i = line[new], np.flatnonzero(full)[i[new]]
                 if len(line):
                     keys = band_keys(*shingles(raw, start[i], end[i]))

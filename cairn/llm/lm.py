@@ -31,6 +31,8 @@ SAMPLE, STRETCH = 4000, 1024
 #: Stands for the end of a text among the vocabulary's ids (which are below).
 END = 0xFFFF
 REMEMBERED = 400_000
+#: Counts that a task holds before it hands them on.
+COUNTED = 1_000_000
 SYMBOLS = 512
 
 
@@ -53,11 +55,25 @@ def prepare(rows: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         known: dict[int, bytes] = {}
+        words, pairs = ([], []), ([], [])
+        names, kinds = ("kind", "id", "rid", "held_out", "ids", "counts"), (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+        def counted() -> pa.RecordBatch:
+            out = []
+            for kind, (keys, counts), t in ((1, words, np.uint64), (2, pairs, np.uint32)):
+                k, c = _sum(keys, counts)
+                out.append((kind, None, None, None, k.astype(t).tobytes(), c.tobytes()))
+                keys.clear()
+                counts.clear()
+            return batch_of(out)
+
         for batch in batches:
             ids, rids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             held = batch.column(2).to_numpy(zero_copy_only=False)
             docs: list[bytes] = []
-            words, pairs = ([], []), ([], [])
             for lo, hi, raw, at in portions(batch, 3):
                 raw = lower(raw)
                 starts, ends, first = words_of(raw, at)
@@ -87,14 +103,12 @@ def prepare(rows: DataFrame, path: str) -> DataFrame:
                 k, c = np.unique((before << np.uint32(16) | seq)[whose], return_counts=True)
                 pairs[0].append(k)
                 pairs[1].append(c)
-            if not docs:
-                continue
-            out = [(0, *x) for x in zip(ids.tolist(), rids.tolist(), held.tolist(), docs, [None] * len(docs), strict=True)]
-            for kind, (keys, counts), t in ((1, words, np.uint64), (2, pairs, np.uint32)):
-                k, c = _sum(keys, counts)
-                out.append((kind, None, None, None, k.astype(t).tobytes(), c.tobytes()))
-            names, kinds = ("kind", "id", "rid", "held_out", "ids", "counts"), (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            if docs:
+                yield batch_of([(0, *x) for x in zip(ids.tolist(), rids.tolist(), held.tolist(), docs, [None] * len(docs), strict=True)])
+            if sum(map(len, words[0])) > COUNTED:
+                yield counted()
+        if words[0]:
+            yield counted()
 
     rows = rows.select("id", "rid", held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(run, "kind int, id long, rid long, held_out boolean, ids binary, counts binary")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import id_text, utf8
+from cairn.llm.common import id_text, small_batches, utf8
 
 CHUNK, STEP = 512, 448
 CODE, WIDTH, STRIDE, FILTERS = 6, 16, 4, 16
@@ -205,6 +205,7 @@ def accepted(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = No
     model = train(labelled if labelled is not None else docs, labels)
     weights = model.p if isinstance(model, Network) else float(model)
     at = docs.columns.index("text")
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network()
