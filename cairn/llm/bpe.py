@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -34,8 +35,10 @@ from cairn.llm.common import id_text
 #: Where a piece ends, the last symbol is another one: its character is moved by this much, and by none elsewhere.
 END = 0x8000
 #: Pieces kept per worker process, twice: a full store becomes the old one, from which what is met again returns.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 ROWS = 256
+#: Above every merge's rank.
+NEVER = 1 << 62
 
 #: Code points that NFC leaves alone and that both libraries class and lower-case alike.
 PLAIN = r"\x00-\x1b\x20-\x84\x86-\u024f\u2010-\u2027\u2030-\u205e\u20ac"
@@ -65,20 +68,19 @@ def _symbols(piece: str) -> str:
 
 class Vocabulary:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
-        self.library = Tokenizer.from_file(path)
+        self.path, self.library = path, None
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         form = lambda t: _symbols(t.removesuffix(self.suffix)) if self.suffix and t.endswith(self.suffix) and t != self.suffix else t
         self.id_of = {form(t): i for t, i in model["vocab"].items()}
         self.text_of = {i: t for t, i in self.id_of.items()}
         merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.rank = {(self.id_of[form(a)], self.id_of[form(b)]): (r, self.id_of[form(a + b)]) for r, (a, b) in enumerate(merges)}
+        # pair of ids -> rank and the merged id, in one number each
+        self.rank = {self.id_of[form(a)] << 16 | self.id_of[form(b)]: r << 16 | self.id_of[form(a + b)] for r, (a, b) in enumerate(merges)}
         self.suffixes = ahocorasick.Automaton()
         for t, i in self.id_of.items():
             self.suffixes.add_word(t, (len(t), i))
@@ -86,33 +88,44 @@ class Vocabulary:
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.plain, self.pieces = re.compile(f"[{PLAIN}]*"), split_pattern()
         self.bytes = byte_characters()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
 
     def merged(self, symbols: str) -> list[int]:
         """The merges applied by rank, leftmost first: the definition that pairs are tested by."""
-        ids = [self.id_of[c] for c in symbols]
+        ids, rank = [self.id_of[c] for c in symbols], self.rank
         while len(ids) > 1:
-            best = min(((*self.rank[p], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.rank), key=lambda x: (x[0], x[2]), default=None)
-            if best is None:
+            best, at, left = NEVER, 0, ids[0]
+            for i in range(1, len(ids)):
+                right = ids[i]
+                if (r := rank.get(left << 16 | right, NEVER)) < best:
+                    best, at = r, i
+                left = right
+            if best == NEVER:
                 break
-            ids[best[2] : best[2] + 2] = [best[1]]
+            ids[at - 1 : at + 1] = [best & 0xFFFF]
         return ids
 
     def compatible(self, left: int, right: int) -> bool:
-        if (said := self.pairs.get((left, right))) is None:
-            said = self.pairs[left, right] = self.merged(self.text_of[left] + self.text_of[right]) == [left, right]
+        key = left << 16 | right
+        if (said := self.pairs.get(key)) is None:
+            said = self.pairs[key] = self.merged(self.text_of[left] + self.text_of[right]) == [left, right]
         return said
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         """piece: characters that stand for bytes, without the end mark."""
-        symbols = _symbols(piece)
+        symbols, pairs = _symbols(piece), self.pairs
         last, back = [-1] * (len(symbols) + 1), [0] * (len(symbols) + 1)
         for end, (size, token) in self.suffixes.iter(symbols):  # at each end the longest first
-            start = end + 1 - size
-            if last[end + 1] < 0 and (start == 0 or last[start] >= 0 and self.compatible(last[start], token)):
-                last[end + 1], back[end + 1] = token, start
+            at = end + 1
+            if last[at] < 0:
+                start = at - size
+                if start:
+                    left = last[start]
+                    if left < 0 or not (pairs[key] if (key := left << 16 | token) in pairs else self.compatible(left, token)):
+                        continue
+                last[at], back[at] = token, start
         out, at = [], len(symbols)
         while at:
             out.append(last[at])
@@ -122,7 +135,7 @@ class Vocabulary:
     def _remember(self, piece: str) -> tuple[int, ...]:
         if len(self.known) >= REMEMBERED:
             self.old, self.known = self.known, {}
-        out = self.old.get(piece) or self.encode_piece("".join([self.bytes[b] for b in piece.encode()]))
+        out = self.old.get(piece) or self.encode_piece(piece if piece.isalpha() and piece.isascii() else "".join([self.bytes[b] for b in piece.encode()]))
         self.known[piece] = out
         return out
 
@@ -130,9 +143,20 @@ class Vocabulary:
         if self.plain.fullmatch(text):
             get, make = self.known.get, self._remember
             return [get(p) or make(p) for p in self.pieces.findall(text.lower())]
+        if self.library is None:  # only where a text needs it: it takes tens of MB
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
         found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [self.encode_piece(p) for p, _ in found if p]
 
+    def encode_word(self, word: str) -> bytes:
+        """The ids of a text without white space, two bytes each."""
+        if "<|" in word:
+            return self.encode(word).astype(np.uint16).tobytes()
+        ids = self._ids(word)
+        return array("H", ids[0] if len(ids) == 1 else chain.from_iterable(ids)).tobytes()
+
     def encode(self, text: str) -> np.ndarray:
         parts = self.cut.split(text) if self.cut and "<|" in text else [text]
         ids = chain.from_iterable([(self.special[p],)] if p in self.special else self._ids(p) for p in parts if p)
