@@ -1,7 +1,7 @@
 """Line dedup: lines alike to another are one component, of which one line stays.
 
 A line is what line feeds part, without white space at its ends; blank lines are kept and not compared. Character shingles (SHINGLE
-code points; a shorter line is one shingle) give a MinHash signature of BANDS bands of ROWS values; lines that agree in a band
+code points; a shorter line is one shingle) give a MinHash signature (by one permutation) of BANDS bands of ROWS values; lines that agree in a band
 are candidates: pairs at similarity SIMILARITY are missed with a probability of (1 - 0.8**4)**10 = 0.5 %. Candidates are verified
 by the exact Jaccard similarity of their shingle sets, and the links joined by distributed union-find. Of each component the first line stays, by
 doc_id and number.
@@ -36,7 +36,8 @@ PORTION = 1 << 18
 #: The most rows of ids and short lists that are broadcast; beyond that, sides are dealt by key.
 BROADCAST_ROWS = 2_000_000
 
-_A = np.random.default_rng(20).integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: A bin without a shingle.
+EMPTY = np.uint32(0xFFFFFFFF)
 
 
 def lines_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,16 +84,37 @@ def shingles(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return out, first
 
 
+def signatures(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(stretches, BANDS * ROWS) of 32-bit values: MinHash by one permutation.
+
+    Half of a shingle's hash says its bin, the other half is its value there, and a bin keeps the least. An empty bin takes the value of the next
+    full one to its right (round), changed by how far that is, so that two sets still agree in a bin as often as they are alike.
+    """
+    width, n = BANDS * ROWS, len(first) - 1
+    at = ((hashes >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)).astype(np.int64)
+    at += np.repeat(np.arange(n) * width, np.diff(first))
+    out = np.full(n * width, EMPTY)
+    np.minimum.at(out, at, hashes.astype(np.uint32))
+    out = out.reshape(n, width)
+    gaps = np.flatnonzero((out == EMPTY).any(axis=1))
+    full = out[gaps]
+    filled = full.copy()
+    for step in range(1, width):
+        near = np.roll(full, -step, axis=1)
+        take = (filled == EMPTY) & (near != EMPTY)
+        filled[take] = near[take] + np.uint32(step * 0x9E3779B1 & 0xFFFFFFFF)
+        if not (filled == EMPTY).any():
+            break
+    out[gaps] = filled
+    return out
+
+
 def band_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """(stretches, BANDS) of 64-bit band values."""
-    x = (hashes >> np.uint64(32)).astype(np.uint32)
-    own = np.empty_like(x)
-    out = np.empty((len(first) - 1, BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(first) - 1, band, np.uint64)
-        for j in range(band * ROWS, (band + 1) * ROWS):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(np.multiply(x, _A[j], out=own), first[:-1]))
-        out[:, band] = key
+    pairs = signatures(hashes, first).view(np.uint64).reshape(len(first) - 1, BANDS, ROWS // 2)
+    out = mix(pairs[..., 0] + np.arange(BANDS, dtype=np.uint64))
+    for i in range(1, ROWS // 2):
+        out = mix(out ^ mix(pairs[..., i] + np.uint64(i)))
     return out
 
 

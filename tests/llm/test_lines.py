@@ -85,6 +85,19 @@ def test_band_recall():
     assert found >= 297
 
 
+def test_signatures_agree_as_often_as_sets_are_alike():
+    r = np.random.default_rng(6)
+    for n in (30, 100, 400):
+        same = []
+        for _ in range(60):
+            x = r.integers(0, 2**63, n, dtype=np.uint64)
+            y = x.copy()
+            y[: n // 5] = r.integers(0, 2**63, n // 5, dtype=np.uint64)  # similarity (n - n/5) / (n + n/5)
+            a, b = (ln.signatures(ln.mix(z), np.array([0, n]))[0] for z in (x, y))
+            same.append((a == b).mean())
+        assert abs(np.mean(same) - 2 / 3) < 0.05
+
+
 def test_against_all_pairs(spark, monkeypatch):
     docs = corpus()
     frame = spark.createDataFrame([(*x, 7, "clash") for x in docs], "doc_id long, text string, number int, line string")
