@@ -123,16 +123,19 @@ class Attention:
 
     def log_probs(self, tokens: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
         """log10 P of every token of sequences that lie one after another; `end` stands before each."""
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[first[:-1]] = end
+        # before[i + T]: the token before place i; in front of the first place there is nothing
+        before = np.full(len(tokens) + T + S, self.v, np.int32)
+        before[T + 1 : T + len(tokens)] = tokens[:-1]
+        before[T + first[:-1]] = end
         out = np.empty(len(tokens), np.float64)
         at, start = windows(first)
         stop = np.minimum(at + S, first[np.searchsorted(first, start, "right")])
         for i in range(0, len(at), BATCH):
             a = at[i : i + BATCH]
             place = a[:, None] + np.arange(S - T, S)
-            seen = np.where(place >= start[i : i + BATCH, None], before[np.clip(place, 0, len(tokens) - 1)], self.v)
+            seen = before[place + T]
+            if (early := place[:, :1] < start[i : i + BATCH, None]).any():
+                seen[early[:, 0]] = np.where(place[early[:, 0]] >= start[i : i + BATCH][early[:, 0], None], seen[early[:, 0]], self.v)
             log_class = self._forward(seen)
             scored = place[:, T - S :]
             good = scored < stop[i : i + BATCH, None]

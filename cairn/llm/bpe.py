@@ -19,7 +19,7 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -91,6 +91,7 @@ class Vocabulary:
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
+        self.words: tuple[dict[int, bytes], dict[int, bytes]] = {}, {}
 
     def merged(self, symbols: str) -> list[int]:
         """The merges applied by rank, leftmost first: the definition that pairs are tested by."""
@@ -154,9 +155,21 @@ class Vocabulary:
         """The ids of a text without white space, two bytes each."""
         if "<|" in word:
             return self.encode(word).astype(np.uint16).tobytes()
-        ids = self._ids(word)
+        ids = [self.known.get(p) or self._remember(p) for p in self.pieces.findall(word.lower())] if word.isascii() and word.isprintable() else self._ids(word)
         return array("H", ids[0] if len(ids) == 1 else chain.from_iterable(ids)).tobytes()
 
+    def encode_words(self, keys: list[int], words: Callable[[int], bytes]) -> list[bytes]:
+        """encode_word for words known by a key, each worked out once while it is remembered; words(i) gives the i-th."""
+        new, old = self.words
+        if len(new) > REMEMBERED:
+            new, old = self.words = {}, new
+        out = []
+        for i, key in enumerate(keys):
+            if (got := new.get(key)) is None:
+                got = new[key] = old.get(key) or self.encode_word(words(i).decode())
+            out.append(got)
+        return out
+
     def encode(self, text: str) -> np.ndarray:
         parts = self.cut.split(text) if self.cut and "<|" in text else [text]
         ids = chain.from_iterable([(self.special[p],)] if p in self.special else self._ids(p) for p in parts if p)

@@ -30,8 +30,6 @@ TOP, TOP_WORDS = 1024, 1 << 17
 SAMPLE, STRETCH = 4000, 1024
 #: Stands for the end of a text among the vocabulary's ids (which are below).
 END = 0xFFFF
-#: Words that a task remembers, twice: a full store becomes the old one.
-REMEMBERED = 300_000
 #: Counts that a task holds before it hands them on.
 COUNTED = 1_000_000
 SYMBOLS = 512
@@ -55,8 +53,6 @@ def prepare(rows: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        known: dict[int, bytes] = {}
-        old: dict[int, bytes] = {}
         words, pairs = ([], []), ([], [])
         names, kinds = ("kind", "id", "rid", "held_out", "ids", "counts"), (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
 
@@ -80,13 +76,8 @@ def prepare(rows: DataFrame, path: str) -> DataFrame:
                 raw = lower(raw)
                 starts, ends, first = words_of(raw, at)
                 u, i, inverse = np.unique(_spans(raw, starts, ends), return_index=True, return_inverse=True)
-                if len(known) > REMEMBERED:
-                    old, known = known, {}
-                body, said = raw.tobytes(), []
-                for key, a, b in zip(u.tolist(), starts[i].tolist(), ends[i].tolist(), strict=True):
-                    if (got := known.get(key)) is None:
-                        got = known[key] = old.get(key) or v.encode_word(body[a:b].decode())
-                    said.append(got)
+                body, a, b = raw.tobytes(), starts[i].tolist(), ends[i].tolist()
+                said = v.encode_words(u.tolist(), lambda j: body[a[j] : b[j]])  # noqa: B023
                 flat = np.frombuffer(b"".join(said), np.uint16)
                 size = np.fromiter(map(len, said), np.int64, len(said)) // 2
                 n = size[inverse]
