@@ -59,8 +59,12 @@ def first_map(bytes_of: dict[int, int], n_shards: int, n_slots: int = N_SLOTS) -
 
 
 def rebalance(m: SlotMap, bytes_of: dict[int, int], n_shards: int | None = None) -> SlotMap:
-    """The next version: move slots from the heaviest shards to the lightest while that makes them more even, and no others."""
+    """The next version: move slots from the heaviest shards to the lightest while that makes them more even, and no others.
+
+    More shards than before: slots move into the new ones only. Fewer: the slots of those that go are dealt out first.
+    """
     n_shards = n_shards or m.n_shards
+    targets = range(m.n_shards, n_shards) if n_shards > m.n_shards else range(n_shards)
     shard_of, load, held = list(m.shard_of), [0] * n_shards, [[] for _ in range(n_shards)]
     for v, s in enumerate(shard_of):
         if s >= n_shards:
@@ -71,7 +75,7 @@ def rebalance(m: SlotMap, bytes_of: dict[int, int], n_shards: int | None = None)
     for own in held:
         own.sort()
     while True:
-        top, low = max(range(n_shards), key=load.__getitem__), min(range(n_shards), key=load.__getitem__)
+        top, low = max(range(n_shards), key=load.__getitem__), min(targets, key=load.__getitem__)
         gap = load[top] - load[low]
         fits = [x for x in held[top] if x[0] < gap]
         if not fits:
