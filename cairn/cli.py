@@ -52,9 +52,7 @@ def run(spark: SparkSession, argv: list[str]) -> object:
         kept, tables = subs, {n: t(n) for n in PER_SUBVOLUME}
         for n in gone:
             kept, tables = snapshots.remove(kept, tables, n)
-        for n, rows_ in tables.items():
-            c.write(n, rows_)
-        c.write("subvolume", kept)
+        c.write_all(tables | {"subvolume": kept})
         return len(gone)
 
     def next_id() -> int:
@@ -67,13 +65,10 @@ def run(spark: SparkSession, argv: list[str]) -> object:
             apparent = t("inode").filter("nlinks > 0").groupBy("subvol_id").agg(usage.total("size", "apparent_size")).join(subs.select(F.col("id").alias("subvol_id"), "name"), "subvol_id").drop("subvol_id")
             return usage.listing(subs, apparent)
         case "create-subvol":
-            for name, rows in zip(("subvolume", "inode", "tree"), snapshots.create(subs, t("inode"), t("tree"), next_id(), names[0], now), strict=True):
-                c.write(name, rows)
+            c.write_all(dict(zip(("subvolume", "inode", "tree"), snapshots.create(subs, t("inode"), t("tree"), next_id(), names[0], now), strict=True)))
         case "create-snapshot":
             kept, tables = snapshots.make(subs, {n: t(n) for n in PER_SUBVOLUME}, names[0], names[1], next_id(), now)
-            for n, rows in tables.items():
-                c.write(n, rows)
-            c.write("subvolume", kept)
+            c.write_all(tables | {"subvolume": kept})
         case "remove-subvol" | "remove-snapshot":
             return drop(subs.filter(F.col("name") == names[0]))
         case "set-readonly" | "unset-readonly":
@@ -99,16 +94,13 @@ def run(spark: SparkSession, argv: list[str]) -> object:
             before = {n: t(n) for n in ("tree", "name", "inode", "xattr", "link", "inode_hash_block", "hash_owner", "block", "hash_sizes", "hash_compression_type", "hash")}
             after = gc.collect(before)
             counts = {n: before[n].count() - after[n].count() for n in before}
-            for n in ("name", "inode", "xattr", "link", "hash_owner", "block", "hash_sizes", "hash_compression_type", "hash", "inode_hash_block"):
-                c.write(n, after[n])
-            c.write("subvolume", snapshots.without_stats(t("subvolume")))
+            c.write_all(after | {"subvolume": snapshots.without_stats(subs)})
             return counts
         case "verify":
             return integrity.verified_counts(integrity.verify(_blocks(t), c.config.hash_function))
         case "rehash":
             new = integrity.rehash(_blocks(t), a.hash).select(F.col("hash_id").alias("id"), F.col("digest").alias("value"))
-            c.write("hash", new)
-            c.write("option", c.table("option").update("hash_function", value=a.hash))
+            c.write_all({"hash": new, "option": c.table("option").update("hash_function", value=a.hash)})
         case "recompress":
             kinds = {n: i for i, n in enumerate(sorted(codecs.CODECS), 1)}
             made = integrity.recompress(_blocks(t), c.config)

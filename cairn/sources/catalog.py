@@ -53,21 +53,24 @@ class Catalog:
         return BlockParts(rows, self.config.partitions) if name == "block" else kind(rows)
 
     def write(self, name: str, table: Table | DataFrame, mode: str = "overwrite", compression: str | None = None) -> None:
-        """Write a table; one that was read from its own folder is put beside it first, then in its place."""
-        rows = table.rows if isinstance(table, Table) else table
-        by = ["subvol_id"] if name in PER_SUBVOLUME else ["part"] if name == "block" else []
-        if name == "block" and "part" not in rows.columns:
-            rows = BlockParts(rows, self.config.partitions).rows
-        path = self.path(name)
-        target = f"{path}.next" if mode == "overwrite" else path
-        out = (rows.repartition(*by) if by else rows).write.mode(mode)
-        if compression:
-            out = out.option("compression", compression)
-        (out.partitionBy(*by) if by else out).parquet(target)
-        if mode == "overwrite":
-            fs, p = self._fs(path)
+        """Write a table, or append to it."""
+        self.write_all({name: table}, mode, compression)
+
+    def write_all(self, tables: dict[str, Table | DataFrame], mode: str = "overwrite", compression: str | None = None) -> None:
+        """Write tables that may be read from one another: all are put beside their folders first, then in their places."""
+        for name, table in tables.items():
+            rows = table.rows if isinstance(table, Table) else table
+            by = ["subvol_id"] if name in PER_SUBVOLUME else ["part"] if name == "block" else []
+            if name == "block" and "part" not in rows.columns:
+                rows = BlockParts(rows, self.config.partitions).rows
+            out = (rows.repartition(*by) if by else rows).write.mode(mode)
+            if compression:
+                out = out.option("compression", compression)
+            (out.partitionBy(*by) if by else out).parquet(f"{self.path(name)}.next" if mode == "overwrite" else self.path(name))
+        for name in tables if mode == "overwrite" else ():
+            fs, p = self._fs(self.path(name))
             fs.delete(p, True)
-            fs.rename(self._fs(target)[1], p)
+            fs.rename(self._fs(f"{self.path(name)}.next")[1], p)
 
     def drop(self, name: str) -> None:
         fs, p = self._fs(self.path(name))
