@@ -28,7 +28,7 @@ from cairn.llm.substring import _spans, keyed
 
 SHINGLE, BANDS, ROWS = 8, 10, 4
 SIMILARITY = 0.8
-BLOCK, FAN = 1024, 32
+BLOCK, FAN = 512, 32
 #: Lines that a task remembers, to post each but once.
 SEEN = 100_000
 #: Bytes of text worked on at once.
