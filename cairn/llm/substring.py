@@ -27,7 +27,7 @@ from cairn.llm.common import checkpoint, id_text, mix, utf8
 from cairn.llm.fmindex import FMIndex
 
 WINDOW, GRAM = 35, 16
-SHARD, HOT = 150_000, 4096
+SHARD, HOT = 150_000, 1024
 #: Bytes of text whose words are hashed at once.
 PORTION = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
