@@ -40,16 +40,17 @@ def collisions(index: DataFrame, data: str = "stored") -> DataFrame:
     return bad.filter("contents > 1")
 
 
-def last_write(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key in a total order, as struct max: partial aggregation, no sort of whole groups."""
-    rest = [c for c in log.columns if c not in (*key, *order)]
-    return log.groupBy(*key).agg(F.max(F.struct(*order, *rest)).alias("_l")).select(*key, "_l.*")
+def last_write(log: DataFrame, key: list[str], order: list[str], combine: bool = False) -> DataFrame:
+    """The last row of each key in a total order.
 
-
-def last_write_ranked(log: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The same by a window, for rows whose columns can't be compared."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return log.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    Most keys of a write log are written once or twice, so rows are dealt by key and sorted once; combine: keys are written so often that
+    taking each task's last row first (a struct max, which sorts before the shuffle too) moves much less.
+    """
+    if combine:
+        rest = [c for c in log.columns if c not in (*key, *order)]
+        return log.groupBy(*key).agg(F.max(F.struct(*order, *rest)).alias("_l")).select(*key, "_l.*")
+    w = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
+    return log.repartition(*key).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
 def read_range(index: DataFrame, inode: str, number: str, data: str, block_size: int, offset: Column, size: Column, file_size: Column) -> DataFrame:

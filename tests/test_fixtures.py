@@ -81,8 +81,8 @@ def test_reference_counts_of_overwritten_blocks(spark):
     index = blocks.last_write(log, ["inode_id", "block_number"], ["seq"])
     assert [r.hash_id for r in index.collect()] == ["A"]
     assert {r.hash_id: (r.write_refs, r.live_refs) for r in usage.write_refcounts(log, index).collect()} == {"A": (2, 1), "B": (1, 0)}
-    ranked = blocks.last_write_ranked(log, ["inode_id", "block_number"], [F.desc("seq")])
-    assert [r.hash_id for r in ranked.collect()] == ["A"]
+    combined = blocks.last_write(log, ["inode_id", "block_number"], ["seq"], combine=True)
+    assert [r.hash_id for r in combined.collect()] == ["A"]
 
 
 def test_median_and_mean(spark):
