@@ -32,7 +32,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 #: Rows that go to a Python worker at once: with long texts, this bounds a worker's memory.
-BATCH_ROWS = 1024
+BATCH_ROWS = 4096
 
 
 def small_batches(spark: SparkSession) -> None:

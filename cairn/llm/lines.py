@@ -34,7 +34,7 @@ SEEN = 100_000
 #: Bytes of text worked on at once.
 PORTION = 1 << 18
 #: The most rows of ids and short lists that are broadcast; beyond that, sides are dealt by key.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 #: A bin without a shingle.
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -154,23 +154,32 @@ def shared(bands: DataFrame) -> DataFrame:
     """The distinct (key, line) whose key has several lines, in one pass over rows dealt and sorted by key."""
     n = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def several(key: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
+        same = key[1:] == key[:-1]
+        many = np.r_[False, same] | np.r_[same, False] if len(key) else np.zeros(0, bool)
+        key, line = key[many], line[many]
+        order = np.lexsort((line, key))
+        key, line = key[order], line[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])][: len(key)]
+        key, line = key[new], line[new]
+        same = key[1:] == key[:-1]
+        many = np.r_[False, same] | np.r_[same, False] if len(key) else np.zeros(0, bool)
+        return pa.record_batch([pa.array(key[many]), pa.array(line[many])], ["key", "line"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, line, known = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        key, line = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             key, line = np.r_[key, batch.column(0).to_numpy()], np.r_[line, batch.column(1).to_numpy()]
-            if not len(key):
-                continue
-            new = np.r_[True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])]
-            key, line = key[new], line[new]
-            same = key[1:] == key[:-1]
-            keep = np.r_[False, same] | np.r_[same, False]
-            keep[0] |= known
-            yield pa.record_batch([pa.array(key[:-1][keep[:-1]]), pa.array(line[:-1][keep[:-1]])], ["key", "line"])
-            key, line, known = key[-1:], line[-1:], bool(keep[-1])
-        if known:
-            yield pa.record_batch([pa.array(key), pa.array(line)], ["key", "line"])
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last key may go on
+            yield several(key[:cut], line[:cut])
+            key, line = key[cut:], line[cut:]
+            if len(line) > BLOCK:
+                line = np.unique(line)
+                key = key[: len(line)]
+        yield several(key, line)
 
-    return bands.repartition(n, "key").sortWithinPartitions("key", "line").mapInArrow(run, bands.schema)
+    # one long sorts by radix
+    return bands.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, bands.schema)
 
 
 def line_texts(rows: DataFrame) -> DataFrame:
@@ -236,7 +245,11 @@ def verified(groups: DataFrame) -> DataFrame:
             said = t.column(2).take(pa.array(one)).to_pylist()
             at = np.r_[0, np.cumsum([len(x) for x in said])]
             hashes, first = shingles(np.frombuffer(b"".join(said), np.uint8), at[:-1], at[1:])
-            own = [np.unique(hashes[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            whose = np.repeat(np.arange(len(said), dtype=np.uint64), np.diff(first))
+            distinct = np.unique(whose << np.uint64(40) | hashes >> np.uint64(24))  # 40 bits of a shingle, under its line
+            cut = np.searchsorted(distinct, np.arange(len(said) + 1, dtype=np.uint64) << np.uint64(40)).tolist()
+            distinct &= np.uint64((1 << 40) - 1)
+            own = [distinct[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
             sets = [own[i] for i in which.tolist()]
             edges, cuts = [], np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)].tolist()
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
