@@ -246,7 +246,8 @@ def verified(groups: DataFrame) -> DataFrame:
             at = np.r_[0, np.cumsum([len(x) for x in said])]
             hashes, first = shingles(np.frombuffer(b"".join(said), np.uint8), at[:-1], at[1:])
             whose = np.repeat(np.arange(len(said), dtype=np.uint64), np.diff(first))
-            distinct = np.unique(whose << np.uint64(40) | hashes >> np.uint64(24))  # 40 bits of a shingle, under its line
+            distinct = np.sort(whose << np.uint64(40) | hashes >> np.uint64(24))  # 40 bits of a shingle, under its line
+            distinct = distinct[np.r_[True, distinct[1:] != distinct[:-1]][: len(distinct)]]
             cut = np.searchsorted(distinct, np.arange(len(said) + 1, dtype=np.uint64) << np.uint64(40)).tolist()
             distinct &= np.uint64((1 << 40) - 1)
             own = [distinct[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
