@@ -4,8 +4,8 @@ Training documents give, over all of them, the counts of words (for the base sco
 counts of neighbours are part of the model, and grow with the corpus. The attention weights on top of them are fitted on SAMPLE
 stretches of at most STRETCH ids (documents by least hash; a bounded sample, as a parameter). Documents are scored in overlapping windows, each token once.
 
-Subwords are ids of a published BPE vocabulary; the TOP most frequent ids of the corpus are kept, the others spelled by the vocabulary's single symbols, so that
-any text has a probability. Words of the base score are known by 64-bit hashes: counts of the TOP_WORDS most frequent go to every task,
+Subwords are ids of a published vocabulary, found from left to right by longest match (one pass of an automaton, so that new words cost no more than known ones); the TOP
+most frequent ids of the corpus are kept, the others spelled by the vocabulary's single symbols, so that any text has a probability. Words of the base score are known by 64-bit hashes: counts of the TOP_WORDS most frequent go to every task,
 the others are joined by shuffle.
 
 Texts are lower-cased (A-Z only). Defined cases: null text is empty and is one end token; a null doc_id is not held out; repeated rows are
@@ -15,24 +15,29 @@ scored each; without training documents every count is 0; an empty table gives n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.attention import S, T, Attention, windows
+from cairn.llm.bpe import END as MARKED
 from cairn.llm.bpe import vocabulary
 from cairn.llm.common import checkpoint
 from cairn.llm.substring import _spans, keyed, portions, words_of
 
-TOP, TOP_WORDS = 1024, 1 << 17
+TOP, TOP_WORDS = 1536, 1 << 17
 SAMPLE, STRETCH = 4000, 1024
 #: Stands for the end of a text among the vocabulary's ids (which are below).
 END = 0xFFFF
 #: Counts that a task holds before it hands them on.
 COUNTED = 1_000_000
 SYMBOLS = 512
+#: A byte that no UTF-8 text has, put after every word.
+BREAK, MARK = b"\xff", "\xff"
 
 
 def held_out(doc_id):
@@ -52,7 +57,7 @@ def prepare(rows: DataFrame, path: str) -> DataFrame:
     """One pass over the texts: kind 0, each document's ids; kinds 1 and 2, counts of word hashes and of id pairs in training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        v = subwords(path)
         words, pairs = ([], []), ([], [])
         names, kinds = ("kind", "id", "rid", "held_out", "ids", "counts"), (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
 
@@ -75,16 +80,11 @@ def prepare(rows: DataFrame, path: str) -> DataFrame:
             for lo, hi, raw, at in portions(batch, 3):
                 raw = lower(raw)
                 starts, ends, first = words_of(raw, at)
-                u, i, inverse = np.unique(_spans(raw, starts, ends), return_index=True, return_inverse=True)
-                body, a, b = raw.tobytes(), starts[i].tolist(), ends[i].tolist()
-                said = v.encode_words(u.tolist(), lambda j: body[a[j] : b[j]])  # noqa: B023
-                flat = np.frombuffer(b"".join(said), np.uint16)
-                size = np.fromiter(map(len, said), np.int64, len(said)) // 2
-                n = size[inverse]
-                out = np.r_[0, np.cumsum(n)]
-                tokens = flat[np.arange(out[-1]) + np.repeat((np.cumsum(size) - size)[inverse] - out[:-1], n)]
-                cut = out[first]
-                docs += [tokens[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                u, inverse = np.unique(_spans(raw, starts, ends), return_inverse=True)
+                body = raw.tobytes()
+                said = [v.encode(body[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                docs += [x.tobytes() for x in said]
+                tokens, cut = np.concatenate(said), np.r_[0, np.cumsum([len(x) for x in said])]
                 train = ~held[lo:hi]
                 count = np.bincount(inverse[np.repeat(train, np.diff(first))], minlength=len(u))
                 words[0].append(u[count > 0])
@@ -118,15 +118,44 @@ def _counts(prepared: DataFrame, kind: int, dtype: type) -> DataFrame:
     return prepared.filter(F.col("kind") == kind).select("ids", "counts").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+class Subwords:
+    """Longest matches over a vocabulary's tokens, as strings with a character for each byte; MARK stands for a word's end."""
+
+    def __init__(self, path: str):
+        v = vocabulary(path)
+        byte_of = {c: chr(i) for i, c in enumerate(v.bytes)}
+        self.tokens = ahocorasick.Automaton()
+        self.spelled: list[list[int]] = [[0]] * END
+        for form, i in v.id_of.items():
+            last = ord(form[-1])
+            plain = form if last < MARKED else form[:-1] + chr(last - MARKED)
+            if all(c in byte_of for c in plain):
+                self.tokens.add_word("".join(byte_of[c] for c in plain) + (MARK if last >= MARKED else ""), i)
+                self.spelled[i] = [v.id_of[c] for c in form]
+        self.tokens.make_automaton()
+
+    def encode(self, text: bytes) -> np.ndarray:
+        """text: lower-cased UTF-8."""
+        words = text.split()
+        if not words:
+            return np.zeros(0, np.uint16)
+        return np.fromiter([i for _, i in self.tokens.iter_long((BREAK.join(words) + BREAK).decode("latin-1"))], np.uint16)
+
+
+@lru_cache(maxsize=2)
+def subwords(path: str) -> Subwords:
+    return Subwords(path)
+
+
 class Spelling:
     """The model's tokens: the symbols (ids under SYMBOLS), the kept ids, and the end, the last. Other ids are spelled."""
 
     def __init__(self, kept: np.ndarray, path: str):
-        v = vocabulary(path)
+        every = subwords(path).spelled
         self.end = SYMBOLS + len(kept)
         own = np.full(END + 1, -1)
         own[:SYMBOLS], own[kept], own[END] = np.arange(SYMBOLS), SYMBOLS + np.arange(len(kept)), self.end
-        spelled = [[own[i]] if own[i] >= 0 else [v.id_of[c] for c in v.text_of[i]] if i in v.text_of else [0] for i in range(END + 1)]
+        spelled = [[own[i]] if own[i] >= 0 else every[i] for i in range(END + 1)]
         self.size = np.array([len(x) for x in spelled])
         self.at = np.cumsum(self.size) - self.size
         self.flat = np.concatenate(spelled).astype(np.int32)
