@@ -28,6 +28,8 @@ from cairn.llm.fmindex import FMIndex
 
 WINDOW, GRAM = 35, 16
 SHARD, HOT = 150_000, 1024
+#: The most texts whose spans are broadcast; beyond that, both sides are dealt by text.
+BROADCAST_TEXTS = 250_000
 #: Bytes of text whose words are hashed at once.
 PORTION = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -273,7 +275,10 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept: the words left, joined by one blank."""
     rows = keyed(docs)
-    both = rows.join(repeated_spans(rows), ["id", "rid"], "left").select("doc_id", "text", "spans")
+    spans = checkpoint(repeated_spans(rows))
+    if spans.count() <= BROADCAST_TEXTS:  # few texts have any: then none needs to be moved
+        spans = F.broadcast(spans)
+    both = rows.join(spans, ["id", "rid"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

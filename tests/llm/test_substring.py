@@ -67,6 +67,7 @@ def corpus(seed=3):
 def test_against_brute_force(spark, monkeypatch, hot, shard):
     monkeypatch.setattr(ss, "HOT", hot)
     monkeypatch.setattr(ss, "SHARD", shard)
+    monkeypatch.setattr(ss, "BROADCAST_TEXTS", 0 if hot == 2 else 1000)
     docs = corpus()
     frame = spark.createDataFrame([(*x, 1, "clash") for x in docs], "doc_id long, text string, start int, segment string")
     got = sorted(str(tuple(r)) for r in ss.remove_repeats(frame).collect())
