@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import checkpoint, id_text, mix, utf8
@@ -260,6 +260,18 @@ def repeated_windows(found: DataFrame) -> DataFrame:
     return cold.unionByName(hot)
 
 
+def merged(spans: Column) -> Column:
+    """Sorted stretches (start, end) with those that touch made one."""
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))
+        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= x["start"]), joined).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(spans, F.slice(spans, 1, 0), add)
+
+
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """keyed rows -> id, rid, spans: the stretches of words to remove (start, end), for the texts that have any."""
     found = checkpoint(repeated_minimisers(occurrences(rows)))
@@ -269,7 +281,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     bounds = checkpoint(repeated_windows(extract(rows, one)))
     end = F.col("start") + (F.col("times") - 1) * F.col("count") + F.col("last") + WINDOW
     spans = found.join(bounds, ["minimiser", "segment"]).select("id", "rid", F.struct((F.col("start") + F.col("first")).alias("start"), end.alias("end")).alias("span"))
-    return spans.groupBy("id", "rid").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+    return spans.groupBy("id", "rid").agg(merged(F.sort_array(F.collect_set("span"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
