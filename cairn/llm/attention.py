@@ -87,7 +87,7 @@ class Attention:
     def of(cls, w: dict[str, np.ndarray]) -> Attention:
         a = cls.__new__(cls)
         a.p = {k: w[k] for k in ("q", "k", "v", "r", "w", "near")}
-        a.log_pair, a.log_share, a.own, a.v = w["log_pair"], w["log_share"], w["own"], len(w["log_pair"])
+        a.log_pair, a.log_share, a.own, a.v = w.get("log_pair"), w["log_share"], w["own"], len(w["log_share"])
         a.distance = np.arange(T)[None, :] - (np.arange(S)[:, None] + T - S)
         a.late = np.where(a.distance > 0, np.float32(-1e9), np.float32(0))
         return a
@@ -145,18 +145,20 @@ class Attention:
             out[where] = log_class[good, c] + self.log_pair[x, y] - self.log_share[x, c]
         return out / np.log(10)
 
-    def train(self, seen: np.ndarray, target: np.ndarray, passes: int = 3, size: int = 64, rate: float = 6e-3, seed: int = 1) -> None:
-        """seen: (windows, T) tokens before each place; target: (windows, S) classes, -1 where nothing is scored. Adam."""
-        r, m, v, step = np.random.default_rng(seed), {}, {}, 0
-        steps = max(1, passes * (len(seen) // size))
-        for _ in range(passes):
-            order = r.permutation(len(seen))
-            for i in range(0, len(order) - size + 1, size):
-                step += 1
-                for name, g in self._gradients(seen[order[i : i + size]], target[order[i : i + size]]).items():
-                    m[name] = 0.9 * m.get(name, 0) + 0.1 * g
-                    v[name] = 0.99 * v.get(name, 0) + 0.01 * g * g
-                    self.p[name] -= (rate * (1 - 0.95 * step / steps) * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+    def train(self, seen: np.ndarray, target: np.ndarray, moments: dict[str, list], size: int = 64, rate: float = 6e-3, seed: int = 1) -> None:
+        """One pass of Adam over all windows. seen: (windows, T) tokens before each place; target: (windows, S) classes, -1 where nothing is scored.
+
+        moments: what Adam remembers from one call to the next; empty at first."""
+        order = np.random.default_rng(seed).permutation(len(seen))
+        for part in np.array_split(order, -(-len(order) // size)) if len(order) else []:
+            for name, g in self._gradients(seen[part], target[part]).items():
+                m, v, step = moments.setdefault(name, [np.zeros_like(g), np.zeros_like(g), 0])
+                moments[name][2] = step = step + 1
+                m *= np.float32(0.9)
+                m += np.float32(0.1) * g
+                v *= np.float32(0.99)
+                v += np.float32(0.01) * (g * g)
+                self.p[name] -= np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(v * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-6))
 
     def _gradients(self, seen: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         p, kept = self.p, {}
@@ -176,6 +178,6 @@ class Attention:
         ds *= np.float32(1 / np.sqrt(D))
         parts = {"r": (last, dh), "v": (seen, a.transpose(0, 2, 1) @ dh), "q": (last, ds @ k), "k": (seen, ds.transpose(0, 2, 1) @ q)}
         for name, (ids, d) in parts.items():
-            ids, d = ids.reshape(-1), d.reshape(-1, D)
-            g[name] = np.stack([np.bincount(ids, d[:, j], self.v + 1) for j in range(D)], axis=1).astype(np.float32)
+            ids, d = ids.reshape(-1), np.ascontiguousarray(d.reshape(-1, D).T)
+            g[name] = np.stack([np.bincount(ids, d[j], self.v + 1) for j in range(D)], axis=1).astype(np.float32)
         return g

@@ -1,8 +1,9 @@
 """Language-model scoring by a causal self-attention model over subword ids.
 
 Training documents give, over all of them, the counts of words (for the base score), of subword ids and of neighbouring ids; the
-counts of neighbours are part of the model, and grow with the corpus. The attention weights on top of them are fitted on SAMPLE
-stretches of at most STRETCH ids (documents by least hash; a bounded sample, as a parameter). Documents are scored in overlapping windows, each token once.
+counts of neighbours are part of the model, and grow with the corpus. The attention weights on top of them are trained on every id of every
+training document, in one pass of ROUNDS rounds: documents are dealt to rounds by hash, each task trains on all its own of the round from the
+weights before it, and the tasks' weights are averaged. Documents are scored in overlapping windows, each token once.
 
 Subwords are ids of a published vocabulary, found from left to right by longest match (one pass of an automaton, so that new words cost no more than known ones); the TOP
 most frequent ids of the corpus are kept, the others spelled by the vocabulary's single symbols, so that any text has a probability. Words of the base score are known by 64-bit hashes: counts of the TOP_WORDS most frequent go to every task,
@@ -30,7 +31,12 @@ from cairn.llm.common import checkpoint
 from cairn.llm.substring import _spans, keyed, portions, words_of
 
 TOP, TOP_WORDS = 1536, 1 << 17
-SAMPLE, STRETCH = 4000, 1024
+#: Rounds of training (each document is in one of them), and tasks that sum up what a round's tasks have learned.
+ROUNDS, SUMMED = 4, 8
+#: The weights that have a row for each token.
+OF_TOKENS = "qkvr"
+#: Tokens of whole documents whose windows are mixed while training.
+MIXED = 1 << 16
 #: Stands for the end of a text among the vocabulary's ids (which are below).
 END = 0xFFFF
 #: Counts that a task holds before it hands them on.
@@ -167,7 +173,7 @@ class Spelling:
 
 
 def fit(prepared: DataFrame, path: str) -> tuple[Attention, Spelling]:
-    """The model. What reaches the driver is bounded by the vocabulary's size, TOP and SAMPLE."""
+    """The model. What reaches the driver is bounded by the vocabulary's size, TOP and SUMMED."""
     spark = prepared.sparkSession
     pairs = checkpoint(_counts(prepared, 2, np.uint32))
     single = pairs.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("id")).agg(F.sum("n").alias("n")).filter((F.col("id") >= SYMBOLS) & (F.col("id") < END))
@@ -185,26 +191,91 @@ def fit(prepared: DataFrame, path: str) -> tuple[Attention, Spelling]:
         word = spelling.flat[spelling.at[i] : spelling.at[i] + spelling.size[i]]
         np.add.at(table, (word[:-1], word[1:]), n)
     model = Attention(table)
-    docs = prepared.filter("kind = 0 and not held_out and length(ids) > 0").withColumn("order", F.xxhash64("id", "rid"))
-    docs = docs.select("order", "id", "rid", (F.length("ids") / 2).cast("int").alias("n"), "ids")
-    start = F.pmod("order", F.greatest(F.col("n") - STRETCH, F.lit(0)) + 1).cast("int")
-    below = -(2**63) + int(2**64 * min(1.0, SAMPLE / max(1, docs.count()))) - 1  # hashes below it: SAMPLE documents or so
-    docs = docs.filter(F.col("order") <= below).select("order", "id", "rid", F.substring("ids", start * 2 + 1, F.lit(2 * STRETCH)).alias("ids"))
-    picked = sorted(docs.limit(2 * SAMPLE).collect())
-    if picked:
-        texts = [np.r_[spelling.tokens(np.frombuffer(r.ids, np.uint16)), spelling.end] for r in picked]
-        tokens, first = np.concatenate(texts), np.r_[0, np.cumsum([len(x) for x in texts])]
-        at, begin = windows(first)
-        place = at[:, None] + np.arange(S - T, S)
-        before = np.r_[spelling.end, tokens[:-1]]
-        before[first[:-1]] = spelling.end
-        seen = np.where(place >= begin[:, None], before[np.clip(place, 0, len(tokens) - 1)], model.v)
-        scored, stop = place[:, T - S :], first[np.searchsorted(first, begin, "right")]
-        passes = min(8, max(3, 240_000 // len(seen)))
-        model.train(seen, np.where(scored < stop[:, None], model.own[tokens[np.clip(scored, 0, len(tokens) - 1)]], -1), passes)
+    for step in range(ROUNDS):
+        train_round(prepared, model, spelling, step)
     return model, spelling
 
 
+def training_windows(model: Attention, spelling: Spelling, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts as model tokens, each with its end -> all their windows: tokens before each place, and the classes of the scored places (else -1)."""
+    tokens, first = np.concatenate(texts), np.r_[0, np.cumsum([len(x) for x in texts])]
+    at, begin = windows(first)
+    place = at[:, None] + np.arange(S - T, S)
+    before = np.r_[spelling.end, tokens[:-1]]
+    before[first[:-1]] = spelling.end
+    seen = np.where(place >= begin[:, None], before[np.clip(place, 0, len(tokens) - 1)], model.v)
+    scored, stop = place[:, T - S :], first[np.searchsorted(first, begin, "right")]
+    return seen, np.where(scored < stop[:, None], model.own[tokens[np.clip(scored, 0, len(tokens) - 1)]], -1)
+
+
+def train_round(prepared: DataFrame, model: Attention, spelling: Spelling, step: int) -> int:
+    """Train the model's weights on all training documents of a round; returns how many tokens (ends included) they had.
+
+    A task's weights count by the tokens it has trained on, those of a token by how often the task has seen it.
+    """
+    sc = prepared.sparkSession.sparkContext
+    shared = sc.broadcast((model.p | {"log_share": model.log_share, "own": model.own}, spelling.size, spelling.at, spelling.flat, spelling.end))
+    rate = 6e-3 * (1 - 0.95 * step / max(1, ROUNDS - 1))
+    names = sorted(model.p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, size, at, flat, end = shared.value
+        net, words = Attention.of({k: w.copy() for k, w in weights.items()}), Spelling.__new__(Spelling)
+        words.size, words.at, words.flat, words.end = size, at, flat, end
+        moments: dict[str, list] = {}
+        portion: list[np.ndarray] = []
+        times, held, part = np.zeros(net.v + 1), 0, None
+
+        def close() -> None:
+            seen, target = training_windows(net, words, portion)
+            net.train(seen, target, moments, rate=rate)
+            times[:] += np.bincount(seen.ravel(), minlength=net.v + 1)
+            portion.clear()
+
+        n = 0
+        for batch in batches:
+            part = batch.column(0)[0].as_py() if batch.num_rows and part is None else part
+            for ids in batch.column(1).to_pylist():
+                portion.append(np.r_[words.tokens(np.frombuffer(ids, np.uint16)), end])
+                held += len(portion[-1])
+                if held > MIXED:
+                    n, held = n + held, 0
+                    close()
+        if portion:
+            n += held
+            close()
+        if n:
+            learned = [net.p[k] * (times[:, None] if k in OF_TOKENS else n) for k in names]
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([times.tobytes()]), pa.array([np.concatenate([x.ravel() for x in learned]).tobytes()])], ["part", "n", "times", "learned"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, times, learned = 0, 0.0, 0.0
+        for batch in batches:
+            for row in range(batch.num_rows):
+                n += batch.column(1)[row].as_py()
+                times = times + np.frombuffer(batch.column(2)[row].as_py())
+                learned = learned + np.frombuffer(batch.column(3)[row].as_py())
+        if n:
+            yield pa.record_batch([pa.array([n], pa.int64()), pa.array([times.tobytes()]), pa.array([learned.tobytes()])], ["n", "times", "learned"])
+
+    docs = prepared.filter("kind = 0 and not held_out").filter(F.pmod(F.xxhash64("id", "rid"), F.lit(ROUNDS)) == step)
+    docs = docs.select(F.spark_partition_id().alias("part"), "ids")
+    sums = docs.mapInArrow(run, "part int, n long, times binary, learned binary").repartition(SUMMED, "part").sortWithinPartitions("part")
+    rows = checkpoint(sums.mapInArrow(add, "n long, times binary, learned binary")).collect()
+    shared.unpersist()
+    if not rows:
+        return 0
+    n, times, learned = sum(r.n for r in rows), sum(np.frombuffer(r.times) for r in rows), sum(np.frombuffer(r.learned) for r in rows)
+    at = 0
+    for k in names:
+        was = model.p[k]
+        count = times[:, None] if k in OF_TOKENS else np.full((1,) * was.ndim, n)
+        new = learned[at : at + was.size].reshape(was.shape) / np.maximum(count, 1)
+        model.p[k] = np.where(count > 0, new, was).astype(np.float32)
+        at += was.size
+    return n
+
+
 def model_scores(prepared: DataFrame, model: Attention, spelling: Spelling) -> DataFrame:
     """id, rid, score: log10 probability of every distinct row's text."""
     shared = prepared.sparkSession.sparkContext.broadcast((model.weights(), spelling.size, spelling.at, spelling.flat, spelling.end))

@@ -106,6 +106,22 @@ def test_against_counts(spark, monkeypatch, top):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+def test_every_training_id_reaches_the_weights(spark):
+    """A long text (over 1024 ids), several rounds and tasks: no token is left as it was drawn, and each is trained on once."""
+    r = np.random.default_rng(4)
+    syllables = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in "bdgklmnrst"]
+    docs = [(i, " ".join("".join(r.choice(syllables, 2)) for _ in range(6000 if i == 0 else 40))) for i in range(30)]
+    prepared = lm.prepare(lm.keyed(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)), WORD_BPE).cache()
+    model, spelling = lm.fit(prepared, WORD_BPE)
+    texts = [np.frombuffer(x.ids, np.uint16) for x in prepared.filter("kind = 0 and not held_out").collect()]
+    assert max(map(len, texts)) > 4 * 1024
+    tokens = np.concatenate([spelling.tokens(x) for x in texts])
+    drawn = at.Attention(np.zeros((model.v, model.v)))
+    for k in "qkvr":
+        assert (model.p[k] != drawn.p[k]).any(axis=1)[np.unique(tokens)].all(), k
+    assert sum(lm.train_round(prepared, model, spelling, i) for i in range(lm.ROUNDS)) == len(tokens) + len(texts)
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="the test tables are not here")
 def test_held_out_texts_are_likelier_than_by_word_counts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id < 6000")
