@@ -115,6 +115,26 @@ def test_against_all_pairs(spark, monkeypatch):
     assert ln.dedup_lines(frame).columns == frame.columns
 
 
+def test_one_changed_character_on_ordinary_lines(spark):
+    """Planted edits on lines of 20 to 80 characters; whether a line is near another is known from the edit, not from shingles."""
+    r = random.Random(21)
+    rows, length = [], {}
+    for i in range(600):
+        n = 20 + i % 60
+        x = "".join(r.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n - 2))
+        x = "q" + x + "z"
+        at = r.randrange(n)
+        rows += [(i, x), (1000 + i, x[:at] + r.choice("XYZ") + x[at + 1 :])]
+        length[1000 + i] = n
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    keeper = {x.doc_id: x.keeper_doc_id for x in ln.line_report(frame).collect()}
+    assert all(keeper[i] == i for i in range(600))  # lines that weren't planted as copies stay
+    found = lambda lo, hi: np.mean([keeper[i] == i - 1000 for i, n in length.items() if lo <= n < hi])
+    assert found(40, 60) > 0.95 and found(60, 80) > 0.98
+    # on shorter lines a change in the middle alone takes them below SIMILARITY
+    assert found(20, 40) > 0.15
+
+
 def test_equal_rows_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "same line here", 14)] * 2 + [(2, "same line here\nother", 20)], "doc_id long, text string, n_chars long")
     assert sorted((r.doc_id, r.text, r.n_chars) for r in ln.dedup_lines(docs).collect()) == [(1, "same line here", 14)] * 2 + [(2, "other", 5)]
