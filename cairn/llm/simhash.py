@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import checkpoint, id_text
+from cairn.llm.common import checkpoint, id_text, small_batches
 from cairn.llm.components import components
 
 BITS = 4
@@ -71,15 +71,16 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long)."""
+def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text and further columns -> doc_id, fp and those."""
+    for b in batches:
+        fps = np.array([fingerprint(x.as_buffer().to_pybytes()) for x in b.column(1).cast(pa.binary())], np.uint64)
+        yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.array([fingerprint(x.as_buffer().to_pybytes()) for x in b.column(1).cast(pa.binary())], np.uint64)
-            yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fp long")
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long)."""
+    return id_text(docs).mapInArrow(_run, "doc_id long, fp long")
 
 
 def _byte(i: int):
@@ -163,28 +164,47 @@ def link_edges(fps: DataFrame) -> DataFrame:
     return links(rows.repartition(n, "key").sortWithinPartitions("key"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: the least doc_id reachable over links of at most BITS bits; n_links, the fingerprint's edges in the forest."""
-    rows = checkpoint(fingerprints(docs))
+def _rooted(rows: DataFrame) -> DataFrame:
+    """doc_id, fp -> fp, least (doc_id of the fingerprint), root (the component): one row for each fingerprint."""
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     edges = checkpoint(link_edges(classes.select("fp")))
     roots = components(edges)
-    named = classes.join(roots, classes["fp"] == roots["v"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return classes.join(roots, classes["fp"] == roots["v"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: the least doc_id reachable over links of at most BITS bits."""
+    rows = checkpoint(fingerprints(docs))
+    named = _rooted(rows)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("fp", "component_id")
     out = rows.join(named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _row_hash(docs: DataFrame):
+    """A hash of the whole row that tells which of its columns are null."""
+    return F.xxhash64(*(docs[c] for c in docs.columns), *(docs[c].isNull() for c in docs.columns))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs (all columns) whose doc_id is their component's least, one row for an id.
+    """One row of docs (all columns) for each component: the one of least doc_id, nulls last; of rows that share it, the one of least row hash.
 
-    Rows with a null doc_id can be no component's least: they stay, one row, only where a component has no other. Of rows that
-    share an id one stays, by a hash of the whole row; only ids that repeat are shuffled for that.
+    Rows are dealt by component, not by doc_id, so every component of null ids keeps a row, and no row that stays is a near copy of another.
+    An id stays once: where several components would keep rows of one id (different texts under it), the row of least hash stays and the
+    other components have none. Of rows equal in all columns one stays; only those are shuffled with their texts for that.
     """
-    found = near_duplicates(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_least"))
-    kept = checkpoint(found.filter("_least").select("_id", "_rows"))
-    once = docs.join(kept.filter("_rows = 1"), docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    again = docs.join(kept.filter("_rows > 1"), docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    first = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
+    small_batches(docs.sparkSession)
+    asked = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), _row_hash(docs).alias("rid"))
+    rows = checkpoint(asked.mapInArrow(_run, "doc_id long, fp long, rid long"))
+    roots = _rooted(rows).select("fp", "root")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")
+    counted = rows.groupBy("doc_id", "fp", "rid").agg(F.count(F.lit(1)).alias("rows")).join(roots, "fp")
+    kept = counted.groupBy("root").agg(F.min_by(F.struct("doc_id", "rid", "rows"), place).alias("kept")).select("root", "kept.*")
+    # an id that is null is nobody's: those rows are told apart by their component
+    kept = kept.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("root")).alias("own")).agg(F.min_by(F.struct("rid", "rows"), "rid").alias("kept"))
+    kept = checkpoint(kept.select(F.col("kept.rid").alias("_rid"), F.col("kept.rows").alias("_rows")))
+    once = docs.join(kept.filter("_rows = 1"), _row_hash(docs) == kept["_rid"], "left_semi")
+    again = docs.join(kept.filter("_rows > 1"), _row_hash(docs) == kept["_rid"], "left_semi")
+    first = again.groupBy(_row_hash(again).alias("_rid")).agg(F.first(F.struct(*again.columns)).alias("_row"))
     return once.unionByName(first.select("_row.*"))

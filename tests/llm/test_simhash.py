@@ -122,3 +122,20 @@ def test_documents(spark):
     assert len(ids) == len(set(ids))
     assert {i for i in ids if i is not None} == {c for i, c in found.items() if i == c and i is not None} | ({8} if 8 in ids else set())
     assert np.all([i in ids for i in (400, 403)]) and 401 not in ids and 404 not in ids and ids.count(None) == 1
+
+
+def test_one_row_of_each_component(spark):
+    """Null ids, an id that several texts share, equal rows: a component keeps one row, and is lost only to another of the same id."""
+    r = random.Random(17)
+    say = lambda: " ".join(r.choice("abcdefghijklmnop") * r.randint(1, 9) for _ in range(60))
+    texts = [say() for _ in range(30)]
+    docs = [(None, t, "a") for t in texts[:20]] + [(5, t, None) for t in texts[20:24]] + [(i, t, "a") for i, t in enumerate(texts[24:], 100)]
+    docs += [(None, texts[0], "b"), (3, texts[1], "a"), (50, texts[20], "a"), (4, texts[21], "a"), (100, texts[24], "a"), (None, texts[2], "a")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    kept = [tuple(x) for x in sh.keep_one(frame).collect()]
+    assert len({slow_fingerprint(t) for t in texts}) == len(texts) and all(x in docs for x in kept)
+    least = {t: min((i for i, x, _ in docs if x == t and i is not None), default=None) for t in texts}
+    fives = {t for t in texts if least[t] == 5}
+    assert len(fives) == 3 and sum(t in fives for _, t, _ in kept) == 1
+    assert sorted(t for _, t, _ in kept if t not in fives) == sorted(set(texts) - fives)
+    assert all(i == least[t] for i, t, _ in kept)
