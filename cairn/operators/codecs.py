@@ -48,11 +48,16 @@ CODECS = {
         Codec("zstd", 18, 1, 9, 18, 3, -100, 20),
         Codec("brotli", 19, 0, 4, 11, 2, 0, 11),
         Codec("lz4", 15),
+        Codec("lz4h", 15),
         Codec("snappy", 17),
     )
 }
 
 
+#: Codecs under another name in Arrow, and Arrow's level for them; lz4h is lz4's format by its slower, high compression.
+ARROW = {"lz4": ("lz4_raw", None), "lz4h": ("lz4_raw", 9)}
+
+
 def _arrow(name: str, level: int | None, data: bytes) -> bytes:
     """Arrow's raw codecs don't keep the size, so four bytes of it come first."""
     codec = pa.Codec(name, compression_level=level) if level is not None else pa.Codec(name)
@@ -72,7 +77,7 @@ def compress(name: str, data: bytes, level: int | str | None = None) -> bytes:
         return bz2.compress(data, n)
     if name == "xz":
         return lzma.compress(data, preset=n)
-    return _arrow("lz4_raw" if name == "lz4" else name, n, data)
+    return _arrow(*ARROW.get(name, (name, n)), data)
 
 
 def decompress(name: str, data: bytes) -> bytes:
@@ -86,7 +91,7 @@ def decompress(name: str, data: bytes) -> bytes:
         return bz2.decompress(data)
     if name == "xz":
         return lzma.decompress(data)
-    return pa.Codec("lz4_raw" if name == "lz4" else name).decompress(data[4:], int.from_bytes(data[:4], "big"), asbytes=True)
+    return pa.Codec(ARROW.get(name, (name, None))[0]).decompress(data[4:], int.from_bytes(data[:4], "big"), asbytes=True)
 
 
 def chosen(specs: tuple[str, ...]) -> list[tuple[str, int | str | None]]:

@@ -138,6 +138,14 @@ def test_codec_round_trip(name):
             assert codecs.decompress(name, codecs.compress(name, x, level)) == x
 
 
+def test_lz4h_is_lz4_by_high_compression():
+    r = random.Random(3)
+    x = b" ".join(r.choice([b"block", b"hash", b"inode", b"tree", b"name"]) + bytes([r.randrange(97, 123)]) for _ in range(4000))
+    made = codecs.compress("lz4h", x)
+    assert len(made) < len(codecs.compress("lz4", x)) and codecs.decompress("lz4", made) == x
+    assert codecs.pack(x, EngineConfig(codecs=("lz4", "lz4h")))[0] == "lz4h" and ("lz4h", "default") in codecs.chosen(("all",))
+
+
 def test_best_codec_and_guards(spark):
     c = EngineConfig(codecs=("zlib:9", "lz4", "none"), minimal_size=64, minimal_ratio=0.05)
     assert codecs.pack(b"", c) == ("none", b"") and codecs.pack(b"a" * 64, c)[0] == "none"
