@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -25,9 +26,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut df's lineage in the shared folder."""
+def checkpoint(df: DataFrame, free: bool = False) -> DataFrame:
+    """Cut df's lineage in the shared folder. free: first give back the shuffle files of lineages cut before, to which nothing refers any more."""
     checkpoint_folder(df.sparkSession)
+    if free:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()  # Spark's cleaner takes what the driver's collector finds
     return df.checkpoint(eager=True)
 
 
@@ -42,6 +46,39 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+#: A key with more than this share of all rows is hot; there are fewer such keys than HOT_SHARE.
+HOT_SHARE = 1024
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "inner") -> DataFrame:
+    """left joined with right (one row for each key; its column `rows` says how many rows of left have the key, and isn't returned).
+
+    The hot keys of right, fewer than HOT_SHARE of them, are broadcast, and the rows of left that have one are spread over all tasks;
+    the other rows are dealt by key, so that no task gets more than a small share.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    hot = F.col(rows) * HOT_SHARE > total
+    packed = right.select(F.col(key).alias("_key"), F.struct(*(c for c in right.columns if c not in (key, rows))).alias("_got"), rows)
+    often = packed.filter(hot).select("_key", F.col("_got").alias("_hot"))
+    seldom = packed.filter(~hot).select("_key", "_got", F.lit(False).alias("_spread"))
+    own = left.join(F.broadcast(often), left[key] == often["_key"], "left").drop("_key")
+    spread = F.col("_hot").isNotNull() | F.col(key).isNull()
+    own = own.withColumn("_mine", F.when(spread, F.xxhash64(*left.columns)).otherwise(F.col(key))).withColumn("_away", spread)
+    out = own.join(seldom, (own["_away"] == seldom["_spread"]) & (own["_mine"] == seldom["_key"]), "left")
+    got = F.coalesce("_hot", "_got")
+    if how == "inner":
+        out = out.filter(got.isNotNull())
+    return out.select(*left.columns, *(got[c].alias(c) for c in right.columns if c not in (key, rows)))
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns under fixed names (doc_id, text; null text: empty), whatever else docs holds."""
     small_batches(docs.sparkSession)

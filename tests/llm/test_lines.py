@@ -103,9 +103,9 @@ def test_against_all_pairs(spark, monkeypatch):
     frame = spark.createDataFrame([(*x, 7, "clash") for x in docs], "doc_id long, text string, number int, line string")
     want = brute(docs)
     assert sum(not x[-1] for x in want) > 100 and any(x[-1] is False and x[:2] != x[2:4] for x in want)
-    for block, most in ((1024, 10**6), (2, 0)):
+    for block, pairs in ((1024, ln.PAIRS), (2, 0)):
         monkeypatch.setattr(ln, "BLOCK", block)
-        monkeypatch.setattr(ln, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(ln, "PAIRS", pairs)
         got = [tuple(r) for r in ln.line_report(frame).collect()]
         assert sorted(map(str, got)) == sorted(map(str, want))
         kept = {r.doc_id: r.text for r in ln.dedup_lines(frame).select("doc_id", "text").collect()}
@@ -135,6 +135,59 @@ def test_one_changed_character_on_ordinary_lines(spark):
     assert found(20, 40) > 0.15
 
 
+def test_sketches_rule_out_no_line_that_is_alike():
+    """Short kind: never. Long kind: hardly ever. Lines that aren't alike are mostly ruled out."""
+    r = np.random.default_rng(3)
+    for n, kind in ((30, 0), (60, 0), (80, 0), (200, 1), (600, 1)):
+        alike, other = [], []
+        for _ in range(300):
+            x = r.integers(0, 2**63, n, dtype=np.uint64)
+            y = x.copy()
+            y[: n // 9] = r.integers(0, 2**63, n // 9, dtype=np.uint64)  # similarity 0.8 or a little more
+            z = np.r_[x[: n // 3], r.integers(0, 2**63, n - n // 3, dtype=np.uint64)]  # similarity 0.2
+            hashes = ln.mix(np.concatenate([x, y, z]))
+            keys, whose, sketch = ln.posted_keys(hashes, np.arange(4) * n)
+            at = [np.flatnonzero((whose == i) & (keys & np.uint64(1) == kind))[0] for i in range(3)]
+            near = ln.may_be_alike(np.full(3, kind == 1), sketch[at])(np.zeros(2, int), np.array([1, 2]))
+            alike.append(near[0])
+            other.append(near[1])
+        assert np.mean(alike) == 1 if kind == 0 else np.mean(alike) > 0.99
+        assert np.mean(other) < 0.02
+
+
+def test_large_buckets_and_large_groups(spark, monkeypatch):
+    """Postings that don't fit a task's hold, and groups over BLOCK, give the same links."""
+    r = random.Random(7)
+    base = "".join(r.choice("abcdefghijklmnopqrst ") for _ in range(150))
+    rows = []
+    for i in range(300):
+        at = r.randrange(150)
+        rows.append((i, base[:at] + "Z" + base[at + 1 :] if i % 3 else "".join(r.choice("abcdefghijk ") for _ in range(150))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(str, ln.line_report(frame).collect()))
+    monkeypatch.setattr(ln, "HELD", 64)
+    monkeypatch.setattr(ln, "BUCKETS", 1)
+    monkeypatch.setattr(ln, "BLOCK", 32)
+    assert sorted(map(str, ln.line_report(frame).collect())) == whole
+    assert sum("kept=True" in x for x in whole) == 101
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "one line here\nb", "x", 1, 2)] * 2 + [(2, "one line here", "y", 3, 4)], "doc_id long, text string, gone string, _gone int, gone_rid int")
+    got = ln.dedup_lines(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "one line here\nb", "x", 1, 2)] * 2 + [(2, "", "y", 3, 4)]
+
+
+def test_a_text_of_many_lines(spark):
+    """Taking lines out is linear in their number."""
+    r = random.Random(2)
+    lines = ["".join(r.choice("abcdefghijklmnop ") for _ in range(12)).strip() for _ in range(30_000)]
+    text = "\n".join(lines[i // 2] if i % 50 else "" for i in range(60_000))
+    got = ln.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text.split("\n")
+    assert [x for x in got if x] == list(dict.fromkeys(x for x in text.split("\n") if x)) and got.count("") == 1200
+
+
 def test_equal_rows_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "same line here", 14)] * 2 + [(2, "same line here\nother", 20)], "doc_id long, text string, n_chars long")
     assert sorted((r.doc_id, r.text, r.n_chars) for r in ln.dedup_lines(docs).collect()) == [(1, "same line here", 14)] * 2 + [(2, "other", 5)]
