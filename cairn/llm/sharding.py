@@ -1,13 +1,14 @@
 """Sharding by fixed virtual slots.
 
-Records hash into a fixed number of virtual slots, bytes are aggregated per slot, and a small versioned map takes slots
-to shards. Rebalancing edits the map, never the hash: only the rows of moved slots change their shard.
+Records (id, text's checksum and length, number among equal rows) hash into a fixed number of virtual slots, bytes are aggregated per slot, and a
+small versioned map takes slots to shards. Rebalancing edits the map, never the hash: only the rows of moved slots change their shard.
 
 The law is `bytes`: shards get near equal bytes (longest slot first onto the lightest shard). What reaches the driver is
 one row per virtual slot, bounded by the parameter n_slots.
 
-Defined cases: null text has no bytes and crc 0 (size 1, as every row costs one byte); a null doc_id hashes like a value of
-its own; repeated rows are all kept, each at a place of its own; an empty table gives no rows; further columns are ignored.
+Defined cases: null text has no bytes and crc 0 (size 1, as every row costs one byte); a null doc_id is a value of its own; rows that share an
+id, or all have none, are spread by their texts, and equal rows, numbered, over all slots (in as many stretches as there are slots); all are kept, each at a place of its own;
+one very long text makes its shard larger, as texts are never cut; of equally full shards the first takes a slot; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,11 +90,15 @@ def rebalance(m: SlotMap, bytes_of: dict[int, int], n_shards: int | None = None)
 
 
 def sized_rows(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, vslot and copies: equal rows are counted before the shuffle, so a hot id is one row."""
+    """doc_id, size, text_crc32, vslot, copy and copies: equal rows are counted before the shuffle, so a hot row is one row, and then dealt to
+    virtual slots in stretches of copies (number `copy` and the `copies - 1` that follow), at most one stretch a slot."""
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    rows = rows.withColumn("vslot", F.pmod(F.xxhash64("doc_id"), F.lit(n_slots)).cast("int"))
-    return rows.groupBy("doc_id", "size", "text_crc32", "vslot").agg(F.count(F.lit(1)).alias("copies"))
+    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("all"))
+    length = F.ceil(F.col("all") / n_slots)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1, length)))
+    vslot = F.pmod(F.xxhash64("doc_id", "size", "text_crc32") + F.floor(F.col("copy") / length), F.lit(n_slots)).cast("int")
+    return rows.select("doc_id", "size", "text_crc32", vslot.alias("vslot"), "copy", F.least(length, F.col("all") - F.col("copy")).alias("copies"))
 
 
 def slot_bytes(rows: DataFrame) -> DataFrame:
@@ -116,7 +121,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS,
         placed.append((v, s, taken[s]))
         taken[s] += sums[v][1]
     places = spark.createDataFrame(placed, "vslot int, shard int, first long")
-    own = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
+    own = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size", "copy")
     rows = rows.withColumn("before", F.sum("copies").over(own) - F.col("copies")).join(F.broadcast(places), "vslot")  # at most n_slots rows
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    return rows.select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("first") + F.col("before") + F.col("copy")).alias("slot"))
+    rows = rows.withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return rows.select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("first") + F.col("before") + F.col("number")).alias("slot"))

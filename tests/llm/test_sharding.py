@@ -29,6 +29,18 @@ def test_shards(spark):
     assert s.shard_documents(frame.limit(0), 8).count() == 0
 
 
+def test_bytes_are_even_where_ids_are_not(spark):
+    """Null ids, one id with many texts, equal rows."""
+    many = [(None, f"text {i}") for i in range(2000)]
+    one = [(7, f"another {i} " * 3) for i in range(2000)]
+    equal = [(9, "the same")] * 50_000
+    for docs in (many, one, equal, many + one + equal[:3000]):
+        got = s.shard_documents(spark.createDataFrame(docs, "doc_id long, text string"), 8, 1024).groupBy("shard").agg({"size": "sum", "slot": "max", "*": "count"}).collect()
+        size = [r["sum(size)"] for r in got]
+        assert len(got) == 8 and max(size) < 1.05 * min(size)
+        assert all(r["max(slot)"] == r["count(1)"] - 1 for r in got)
+
+
 def test_map_is_versioned_and_edited(spark, tmp_path):
     r = random.Random(1)
     sizes = {v: r.randint(1, 100) for v in range(0, 512)}
