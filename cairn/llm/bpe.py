@@ -10,7 +10,8 @@ lower case by code point, then the letters/number/other split. Pieces of Latin t
 other character goes through the library's own normaliser and splitter, so that both read Unicode alike.
 
 Defined cases: null and empty texts have no tokens and decode to empty text; the strings of special tokens inside a text become
-their ids; repeated rows are encoded each; null ids pass through; an empty table gives no rows; further columns are ignored.
+their ids; a very long text is encoded whole, its pieces one by one, in memory of some 60 bytes for each of its own; the automaton leaves no ties; repeated rows are encoded each; null ids pass
+through; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,9 +34,12 @@ from cairn.llm.common import id_text
 
 #: Where a piece ends, the last symbol is another one: its character is moved by this much, and by none elsewhere.
 END = 0x8000
-#: Pieces kept per worker process, twice: a full store becomes the old one, from which what is met again returns.
-REMEMBERED = 120_000
+#: What a worker process keeps of known pieces, in characters and ids, twice: a full store becomes the old one, from which what is met again returns.
+#: A piece counts PIECE more for its entry; pieces over LONG characters aren't kept.
+REMEMBERED, PIECE, LONG = 4_000_000, 24, 256
 ROWS = 256
+#: Two ids, or a rank and an id, share a number: an id has this many bits.
+BITS = 24
 #: Above every merge's rank.
 NEVER = 1 << 62
 
@@ -79,7 +83,7 @@ class Vocabulary:
         self.text_of = {i: t for t, i in self.id_of.items()}
         merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         # pair of ids -> rank and the merged id, in one number each
-        self.rank = {self.id_of[form(a)] << 16 | self.id_of[form(b)]: r << 16 | self.id_of[form(a + b)] for r, (a, b) in enumerate(merges)}
+        self.rank = {self.id_of[form(a)] << BITS | self.id_of[form(b)]: r << BITS | self.id_of[form(a + b)] for r, (a, b) in enumerate(merges)}
         self.suffixes = ahocorasick.Automaton()
         for t, i in self.id_of.items():
             self.suffixes.add_word(t, (len(t), i))
@@ -90,6 +94,7 @@ class Vocabulary:
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def merged(self, symbols: str) -> list[int]:
         """The merges applied by rank, leftmost first: the definition that pairs are tested by."""
@@ -98,16 +103,16 @@ class Vocabulary:
             best, at, left = NEVER, 0, ids[0]
             for i in range(1, len(ids)):
                 right = ids[i]
-                if (r := rank.get(left << 16 | right, NEVER)) < best:
+                if (r := rank.get(left << BITS | right, NEVER)) < best:
                     best, at = r, i
                 left = right
             if best == NEVER:
                 break
-            ids[at - 1 : at + 1] = [best & 0xFFFF]
+            ids[at - 1 : at + 1] = [best & ((1 << BITS) - 1)]
         return ids
 
     def compatible(self, left: int, right: int) -> bool:
-        key = left << 16 | right
+        key = left << BITS | right
         if (said := self.pairs.get(key)) is None:
             said = self.pairs[key] = self.merged(self.text_of[left] + self.text_of[right]) == [left, right]
         return said
@@ -122,7 +127,7 @@ class Vocabulary:
                 start = at - size
                 if start:
                     left = last[start]
-                    if left < 0 or not (pairs[key] if (key := left << 16 | token) in pairs else self.compatible(left, token)):
+                    if left < 0 or not (pairs[key] if (key := left << BITS | token) in pairs else self.compatible(left, token)):
                         continue
                 last[at], back[at] = token, start
         out, at = [], len(symbols)
@@ -132,10 +137,12 @@ class Vocabulary:
         return tuple(reversed(out))
 
     def _remember(self, piece: str) -> tuple[int, ...]:
-        if len(self.known) >= REMEMBERED:
-            self.old, self.known = self.known, {}
         out = self.old.get(piece) or self.encode_piece(piece if piece.isalpha() and piece.isascii() else "".join([self.bytes[b] for b in piece.encode()]))
-        self.known[piece] = out
+        if len(piece) <= LONG:
+            if self.held >= REMEMBERED:
+                self.old, self.known, self.held = self.known, {}, 0
+            self.known[piece] = out
+            self.held += len(piece) + len(out) + PIECE
         return out
 
     def _ids(self, text: str) -> list[tuple[int, ...]]:
@@ -150,7 +157,7 @@ class Vocabulary:
         return [self.encode_piece(p) for p, _ in found if p]
 
     def encode(self, text: str) -> np.ndarray:
-        parts = self.cut.split(text) if self.cut and "<|" in text else [text]
+        parts = self.cut.split(text) if self.cut else [text]
         ids = chain.from_iterable([(self.special[p],)] if p in self.special else self._ids(p) for p in parts if p)
         return np.fromiter(chain.from_iterable(ids), np.int32)
 

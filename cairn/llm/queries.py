@@ -5,15 +5,16 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import bpe, chat, decontaminate, lines, lm, quality, sharding, simhash, substring, winnow
 from cairn.llm.common import table
 
-#: The folder of the public vocabulary files; they are never copied into the repository.
-TOKENIZERS = os.environ.get("CAIRN_TOKENIZERS", "/opt/tokenizers")
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+#: A public vocabulary file, which every machine has; CAIRN_TOKENIZERS names another folder. None is copied into the repository.
+TOKENIZERS = os.environ.get("CAIRN_TOKENIZERS")
+WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json" if TOKENIZERS else str(public_tokenizers.path("word_bpe_49k.json"))
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -39,6 +39,18 @@ def test_letters(text):
     same(text)
 
 
+def test_a_store_that_overflows_gives_the_same_ids(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 200)
+    v = bpe.Vocabulary(WORD_BPE)
+    text = " ".join(f"word{i % 70} {'long' * (i % 90)}" for i in range(800))
+    assert v.encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert v.held < 400 + bpe.PIECE + 2 * bpe.LONG
+
+
+def test_a_very_long_text():
+    same("an unbroken" * 40_000 + " and many words " * 40_000)
+
+
 def test_rows(spark):
     rows = [(i, t) for i, t in enumerate(HARD)] + [(None, "a"), (3, None), (3, None)]
     docs = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, ids int, decoded string")
