@@ -13,7 +13,7 @@ import numpy as np
 #: Positions in a window, and how many of them, the last, it scores: every token is scored once, with T - S to T - 1 tokens before it.
 T, S = 32, 24
 D, CLASSES = 16, 96
-BATCH = 256
+BATCH = 64
 
 
 def _mix(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -92,34 +92,57 @@ class Attention:
         a.late = np.where(a.distance > 0, np.float32(-1e9), np.float32(0))
         return a
 
-    def _forward(self, seen: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """(windows, T) token before each place -> log P(class) at the last S places."""
+    def _attend(self, seen: np.ndarray, keep: dict | None = None, most: float = np.inf) -> np.ndarray:
+        """(windows, T) token before each place -> what the last S places know of the text, (windows * S, D). most: a limit to what goes into exp."""
         p = self.p
+        kind = p["v"].dtype
         last = seen[:, T - S :]
-        q, k = p["q"][last], p["k"][seen]
-        v = np.ones((*seen.shape, D + 1), p["v"].dtype)  # a column of ones gives the sum of the weights
-        v[..., :D] = p["v"][seen]
+        table = np.ones((len(p["v"]), D + 1), kind)  # a column of ones gives the sum of the weights
+        table[:, :D] = p["v"]
+        q, k, v = (p["q"] * kind.type(1 / np.sqrt(D)))[last], p["k"][seen], table[seen]
         a = q @ k.transpose(0, 2, 1)
-        a *= np.float32(1 / np.sqrt(D))
         a += p["near"][np.minimum(self.distance, 0) + T - 1] + self.late
         if (seen[:, 0] == self.v).any():
             a += np.where(seen == self.v, np.float32(-1e4), np.float32(0))[:, None, :]
             a -= a.max(axis=2, keepdims=True)  # where all that is seen lies before the text
-        np.minimum(a, np.float32(60), out=a)
+        if most < np.inf:
+            np.minimum(a, kind.type(most), out=a)
         np.exp(a, out=a)
         h = a @ v
         total = h[..., D:]
+        if most == np.inf and not np.isfinite(total).all():  # hardly ever
+            return self._attend(seen, keep, 60.0)
         h = h[..., :D] / total
         h += p["r"][last]
-        z = h.reshape(-1, D) @ p["w"]
-        z += self.log_share[np.minimum(last, self.v - 1).reshape(-1)]
-        np.minimum(z, np.float32(60), out=z)
-        e = np.exp(z)
-        sums = e @ np.ones((e.shape[1], 1), e.dtype)
         if keep is not None:
-            keep |= {"last": last, "q": q, "k": k, "v": v[..., :D], "a": a / total, "h": h, "prob": e / sums}
-        z -= np.log(sums)
-        return z.reshape(len(seen), S, -1)
+            a /= total
+            keep |= {"last": last, "q": q, "k": k, "v": v[..., :D], "a": a, "h": h}
+        return h.reshape(-1, D)
+
+    def _logits(self, h: np.ndarray, last: np.ndarray) -> np.ndarray:
+        z = h @ self.p["w"]
+        z += self.log_share[np.minimum(last, self.v - 1)]
+        return z
+
+    def _sums(self, h: np.ndarray, last: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits of the target classes, exps of all, and their sums."""
+        z = self._logits(h, last)
+        own = z[np.arange(len(z)), target]
+        np.exp(z, out=z)
+        sums = z @ np.ones((z.shape[1], 1), z.dtype)
+        if not np.isfinite(sums).all():  # hardly ever
+            z = np.minimum(self._logits(h, last), z.dtype.type(60))
+            own = z[np.arange(len(z)), target]
+            np.exp(z, out=z)
+            sums = z @ np.ones((z.shape[1], 1), z.dtype)
+        return own, z, sums
+
+    def _forward(self, seen: np.ndarray) -> np.ndarray:
+        """(windows, T) token before each place -> log P(class) at the last S places."""
+        last = seen[:, T - S :].reshape(-1)
+        h = self._attend(seen)
+        _, e, sums = self._sums(h, last, np.zeros(len(h), np.int64))
+        return np.log(e / sums).reshape(len(seen), S, -1)
 
     def log_probs(self, tokens: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
         """log10 P of every token of sequences that lie one after another; `end` stands before each."""
@@ -136,13 +159,14 @@ class Attention:
             seen = before[place + T]
             if (early := place[:, :1] < start[i : i + BATCH, None]).any():
                 seen[early[:, 0]] = np.where(place[early[:, 0]] >= start[i : i + BATCH][early[:, 0], None], seen[early[:, 0]], self.v)
-            log_class = self._forward(seen)
+            h = self._attend(seen)
             scored = place[:, T - S :]
-            good = scored < stop[i : i + BATCH, None]
-            where, x = scored[good], seen[:, T - S :][good]
+            good = (scored < stop[i : i + BATCH, None]).reshape(-1)
+            where, x = scored.reshape(-1)[good], seen[:, T - S :].reshape(-1)[good]
             y = tokens[where]
             c = self.own[y]
-            out[where] = log_class[good, c] + self.log_pair[x, y] - self.log_share[x, c]
+            own, _, sums = self._sums(h[good] if len(where) < len(h) else h, x, c)
+            out[where] = own - np.log(sums[:, 0]) + self.log_pair[x, y] - self.log_share[x, c]
         return out / np.log(10)
 
     def train(self, seen: np.ndarray, target: np.ndarray, moments: dict[str, list], size: int = 64, rate: float = 6e-3, seed: int = 1) -> None:
@@ -162,22 +186,26 @@ class Attention:
 
     def _gradients(self, seen: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         p, kept = self.p, {}
-        self._forward(seen, kept)
         flat = target.reshape(-1)
         good = flat >= 0
-        dz = kept["prob"].copy()
-        dz[np.flatnonzero(good), flat[good]] -= 1
-        dz[~good] = 0
-        dz /= max(1, good.sum())
+        x = self._attend(seen, kept)
+        _, dz, sums = self._sums(x, seen[:, T - S :].reshape(-1), np.maximum(flat, 0))
+        dz *= np.where(good, 1.0 / max(1, good.sum()), 0.0).astype(dz.dtype)[:, None] / sums
+        dz[np.flatnonzero(good), flat[good]] -= dz.dtype.type(1.0 / max(1, good.sum()))
         h, a, q, k, v, last = (kept[n] for n in ("h", "a", "q", "k", "v", "last"))
-        g = {"w": h.reshape(-1, D).T @ dz}
+        g = {"w": x.T @ dz}
         dh = (dz @ p["w"].T).reshape(h.shape)
-        da = dh @ v.transpose(0, 2, 1)
-        ds = a * (da - (a * da).sum(axis=2, keepdims=True))
+        ds = dh @ v.transpose(0, 2, 1)
+        ds *= a
+        ds -= a * ds.sum(axis=2, keepdims=True)
         g["near"] = np.bincount((np.minimum(self.distance, 0) + T - 1).ravel(), np.where(self.distance > 0, 0, ds.sum(axis=0)).ravel(), T).astype(np.float32)
-        ds *= np.float32(1 / np.sqrt(D))
-        parts = {"r": (last, dh), "v": (seen, a.transpose(0, 2, 1) @ dh), "q": (last, ds @ k), "k": (seen, ds.transpose(0, 2, 1) @ q)}
-        for name, (ids, d) in parts.items():
-            ids, d = ids.reshape(-1), np.ascontiguousarray(d.reshape(-1, D).T)
-            g[name] = np.stack([np.bincount(ids, d[j], self.v + 1) for j in range(D)], axis=1).astype(np.float32)
+        scale = ds.dtype.type(1 / np.sqrt(D))
+        g["v"], g["k"] = self._by_token(seen, a.transpose(0, 2, 1) @ dh, ds.transpose(0, 2, 1) @ q)  # q is scaled already
+        g["r"], g["q"] = self._by_token(last, dh, (ds @ k) * scale)
         return g
+
+    def _by_token(self, ids: np.ndarray, *parts: np.ndarray) -> list[np.ndarray]:
+        """Gradients at places, summed by the token there."""
+        ids = ids.reshape(-1)
+        columns = (np.ascontiguousarray(d.reshape(-1, D).T) for d in parts)
+        return [np.stack([np.bincount(ids, x, self.v + 1) for x in d], axis=1).astype(d.dtype) for d in columns]

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -30,7 +31,7 @@ from cairn.llm.bpe import vocabulary
 from cairn.llm.common import checkpoint
 from cairn.llm.substring import _spans, keyed, portions, words_of
 
-TOP, TOP_WORDS = 1536, 1 << 17
+TOP, TOP_WORDS = 1536, 1 << 19
 #: Rounds of training (each document is in one of them), and tasks that sum up what a round's tasks have learned.
 ROUNDS, SUMMED = 4, 8
 #: The weights that have a row for each token.
@@ -44,6 +45,7 @@ COUNTED = 1_000_000
 SYMBOLS = 512
 #: A byte that no UTF-8 text has, put after every word.
 BREAK, MARK = b"\xff", "\xff"
+_SECOND = itemgetter(1)
 
 
 def held_out(doc_id):
@@ -145,7 +147,7 @@ class Subwords:
         words = text.split()
         if not words:
             return np.zeros(0, np.uint16)
-        return np.fromiter([i for _, i in self.tokens.iter_long((BREAK.join(words) + BREAK).decode("latin-1"))], np.uint16)
+        return np.fromiter(map(_SECOND, self.tokens.iter_long((BREAK.join(words) + BREAK).decode("latin-1"))), np.uint16)
 
 
 @lru_cache(maxsize=2)
