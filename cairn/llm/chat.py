@@ -1,9 +1,10 @@
 """Chat formatting in budgeted windows.
 
-Prefix sums of turn tokens choose spans of whole turns: a window holds the conversation's system turn, as much history as fits a
-limit (repeated, whole turns, the latest), then new turns up to the budget. New assistant texts are under the loss mask;
-repeated turns and all other roles are not, so each assistant text is learned from once. A turn over the budget is never cut: it gets
-a window of its own.
+Prefix sums of turn tokens (subword ids of the formatted turn, by the BPE encoder of this package) are searched for spans of whole turns: a window
+holds the conversation's system turn, as much history as fits a limit (repeated, whole turns, the latest; the oldest of it goes first where the next
+new turn wouldn't fit the budget), then new turns up to the budget. New assistant texts are under the loss mask; repeated turns and all other roles
+are not, so each assistant text is learned from once. A turn is never cut: one that is over the budget even alone with the system turn gets a
+window without history.
 
 Template: a turn is its mark, its escaped text and its end mark (MARKS). Inside texts a backslash is doubled and a control string
 gets a backslash after its first character, so that no control string is left and the escape can be taken back.
@@ -12,19 +13,22 @@ Rows are dealt by conversation, sorted, and worked through as they come: memory
 long a conversation is.
 
 Defined cases: null text is empty, a null role is the empty role, null turns come first, rows with equal turn are ordered by role and text, and
-repeated rows are turns of their own; null conv_ids are one conversation; an empty table gives no rows; further columns are ignored.
+repeated rows are turns of their own; null conv_ids are one conversation; a very long text is one turn, held whole; a conversation is one task's stream, as its
+digests are; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.bpe import vocabulary
 from cairn.llm.common import small_batches
 
 BUDGET, HISTORY = 1024, 256
@@ -51,55 +55,54 @@ def turn_text(role: str, text: str) -> tuple[str, int, int]:
     return f"{start}{body}{end}\n", len(start), len(start) + len(body)
 
 
-def tokens(text: str) -> int:
-    """A turn's share of the budget: its words, and four for its marks."""
-    return len(text.split()) + 4
-
-
 class Windows:
-    """Takes turns one by one, gives windows: (text, turns repeated, loss spans)."""
-
-    def __init__(self, budget: int = BUDGET, history: int = HISTORY):
-        self.budget, self.history = budget, history
-        self.system: tuple[str, str] | None = None
-        self.past: list[tuple[str, str, int]] = []  # the latest turns, at most history tokens
-        self.new: list[tuple[str, str, int]] = []
-        self.held = self.used = 0
+    """Takes turns one by one, gives windows: (text, turns repeated, loss spans). count: the tokens of a formatted turn."""
+
+    def __init__(self, count: Callable[[str], int], budget: int = BUDGET, history: int = HISTORY):
+        self.count, self.budget, self.history = count, budget, history
+        self.system: tuple | None = None  # once it has had its window
+        self.turns: list[tuple] = []  # role, formatted, start and end of its text: history and new turns
+        self.prefix = [0]  # tokens before each of them, and of all
+        self.new = 0  # where new turns begin
         self.begun = False
 
-    def _overhead(self) -> int:
-        return self.held + (tokens(self.system[1]) if self.system else 0)
+    def _room(self) -> int:
+        return self.budget - (self.system[4] if self.system else 0)
+
+    def _from(self) -> int:
+        """Where the window's history begins: by its limit, and so that the first new turn fits."""
+        least = bisect_left(self.prefix, self.prefix[self.new] - self.history)
+        return min(self.new, max(least, bisect_left(self.prefix, self.prefix[self.new + 1] - self._room())))
 
     def add(self, role: str, text: str) -> Iterator[tuple]:
-        n = tokens(text)
-        if self.new and self._overhead() + self.used + n > self.budget:
-            yield self._close()
-        self.new.append((role, text, n))
-        self.used += n
+        made, start, end = turn_text(role, text)
+        self.turns.append((role, made, start, end, self.count(made)))
+        self.prefix.append(self.prefix[-1] + self.turns[-1][4])
+        while self.new < len(self.turns):
+            most = max(self.new + 1, bisect_right(self.prefix, self.prefix[self._from()] + self._room()) - 1)
+            if most >= len(self.turns):
+                break
+            yield self._close(most)
 
     def end(self) -> Iterator[tuple]:
-        if self.new:
-            yield self._close()
+        if self.new < len(self.turns):
+            yield self._close(len(self.turns))
 
-    def _close(self) -> tuple:
-        again = ([self.system] if self.system else []) + [x[:2] for x in self.past]
+    def _close(self, upto: int) -> tuple:
+        again = ([self.system] if self.system else []) + self.turns[self._from() : self.new]
         parts, spans, at = [], [], 0
-        for i, (role, text) in enumerate([*again, *(x[:2] for x in self.new)]):
-            made, start, end = turn_text(role, text)
+        for i, (role, made, start, end, _) in enumerate([*again, *self.turns[self.new : upto]]):
             if role == "assistant" and i >= len(again):
                 spans.append((at + start, at + end))
             parts.append(made)
             at += len(made)
-        turns = self.new
-        if not self.begun and turns[0][0] == "system":
-            self.system, turns = turns[0][:2], turns[1:]
-        self.begun = True
-        prefix = [0]
-        for x in reversed(self.past + turns):
-            prefix.append(prefix[-1] + x[2])
-        keep = sum(1 for x in prefix[1:] if x <= self.history)
-        self.past = (self.past + turns)[len(prefix) - 1 - keep :]
-        self.held, self.new, self.used = prefix[keep], [], 0
+        if not self.begun and self.turns[0][0] == "system":
+            self.system = self.turns.pop(0)  # from now on in front of each window, and not part of the history
+            self.prefix = [x - self.system[4] for x in self.prefix[1:]]
+            upto -= 1
+        self.begun, self.new = True, upto
+        gone = bisect_left(self.prefix, self.prefix[upto] - self.history)
+        self.turns, self.prefix, self.new = self.turns[gone:], [x - self.prefix[gone] for x in self.prefix[gone:]], upto - gone
         return "".join(parts), len(again), spans
 
 
@@ -119,9 +122,10 @@ def _sorted(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def format_conversations(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def format_conversations(rows: DataFrame, path: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """conv_id, turn, role, text -> conv_id, window, text, repeated (turns seen before), loss: array of (start, end) code points.
 
+    path: the vocabulary file that tokens are counted by, present on every machine.
     A partition's rows are in order of conv_id and window.
     """
     schema = "conv_id long, window long, text string, repeated int, loss array<struct<start:int,end:int>>"
@@ -132,13 +136,15 @@ def format_conversations(rows: DataFrame, budget: int = BUDGET, history: int = H
         return pa.record_batch([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(texts, pa.string()), pa.array(repeated, pa.int32()), pa.array([[{"start": a, "end": b} for a, b in x] for x in loss], loss_type)], ["conv_id", "window", "text", "repeated", "loss"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary(path)
+        size = lambda made: len(known.encode(made))
         now, state, count, out = None, None, 0, []
         for batch in batches:
             for conv, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 if state is None or conv != now:
                     for x in state.end() if state else ():
                         out.append((now, count, *x))
-                    now, state, count = conv, Windows(budget, history), 0
+                    now, state, count = conv, Windows(size, budget, history), 0
                 for x in state.add(role, text):
                     out.append((now, count, *x))
                     count += 1

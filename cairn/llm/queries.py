@@ -39,7 +39,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.format_conversations(rows.unionByName(more)))
+    return chat.digests(chat.format_conversations(rows.unionByName(more), WORD_BPE))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +77,12 @@ ORACLE_SQL: dict[str, str] = {
     "op3_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id AS id, {_TOKENS} AS t FROM documents),
 b AS (SELECT min(item_id) AS id, t FROM (SELECT item_id, {_TOKENS} AS t FROM benchmark) GROUP BY t),
-ds AS ({_SEEDS.format("d")}), bs AS ({_SEEDS.format("b")}),
-hits AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.pos - bs.pos AS offs FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed),
+long AS (SELECT * FROM b WHERE len(t) >= {decontaminate.WINDOW}),
+ds AS ({_SEEDS.format("d")}), bs AS ({_SEEDS.format("long")}),
+short AS (SELECT * FROM b WHERE len(t) BETWEEN 1 AND {decontaminate.WINDOW - 1}),
+hits AS (
+  SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.pos - bs.pos AS offs FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed
+  UNION ALL SELECT DISTINCT d.id, s.id, unnest(range(len(d.t) - len(s.t) + 1)) FROM d, short s WHERE len(d.t) >= len(s.t)),
 placed AS (
   SELECT h.doc_id, h.item_id, offs, {_WIDTH} AS width,
          unnest(range(greatest(-offs, 0), least(len(b.t), len(d.t) - offs) - {_WIDTH} + 1)) AS s, d.t AS dt, b.t AS bt
@@ -89,7 +93,7 @@ counted AS (
   FROM placed),
 good AS (
   SELECT doc_id, item_id, doc_token, width, n, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, doc_token) AS k
-  FROM counted WHERE n >= ceil(width * {decontaminate.LEAST} / {decontaminate.WINDOW}.0))
+  FROM counted WHERE n >= CASE WHEN width < {decontaminate.SHORTEST} THEN width ELSE ceil(width * {decontaminate.LEAST} / {decontaminate.WINDOW}.0) END)
 SELECT doc_id, item_id, CAST(doc_token AS INTEGER) AS doc_token, CAST(width AS INTEGER) AS n_tokens, CAST(n AS INTEGER) AS n_equal
 FROM good WHERE k = 1
 """,

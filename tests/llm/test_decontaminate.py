@@ -14,7 +14,7 @@ def brute(docs, items):
     by = {}
     for i, t in items:
         w = tuple(tok(t))
-        if len(w) >= dc.SHORTEST:
+        if w:
             by[w] = min(i, by.get(w, i))
     out = set()
     for d, t in docs:
@@ -24,7 +24,7 @@ def brute(docs, items):
             for o in range(-len(w), len(x)):
                 a, b = max(o, 0), max(-o, 0)
                 same = [p == q for p, q in zip(x[a:], w[b:], strict=False)]
-                if any(sum(same[s : s + width]) >= -(-width * dc.LEAST // dc.WINDOW) for s in range(len(same) - width + 1)):
+                if any(sum(same[s : s + width]) >= (width if width < 8 else -(-width * 4 // 5)) for s in range(len(same) - width + 1)):
                     out.add((d, i))
     return out
 
@@ -35,6 +35,36 @@ def test_masks_find_every_window_with_up_to_three_substitutions():
         assert any(not changed & {s + i for i, c in enumerate(m) if c == "1"} for m in dc.MASKS for s in range(dc.WINDOW - len(m) + 1))
 
 
+def test_masks_of_short_items_find_every_match():
+    for m in range(1, dc.WINDOW):
+        for k in range(m - dc.required(m) + 1):
+            for changed in itertools.combinations(range(m), k):
+                assert any(all(c == "0" or i not in changed for i, c in enumerate(x)) and "1" in x and len(x) == m for x in dc.masks(m))
+
+
+def test_short_items(spark):
+    """Items of 1 to 14 tokens, whole, with as many substitutions as they may have, and with one more."""
+    r = random.Random(6)
+    items, docs = [], []
+    say = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    for m in range(1, 15):
+        w = say(m)
+        items.append((m, " ".join(w)))
+        for k in range(m - dc.required(m) + 2):
+            x = list(w)
+            for p in r.sample(range(m), min(k, m)):
+                x[p] = "other"
+            docs.append((100 * m + k, " ".join([*say(r.randrange(6)), *x, *say(r.randrange(6))])))
+    items.append((50, "what is the capital city of france"))
+    docs += [(5000, "xx what is the capital city of france yy zz"), (5001, "xx what was the capital city of france yy zz")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    assert (5000, 50) in want and (5001, 50) not in want and len(want) > 20
+    for most in (dc.BROADCAST_BYTES, 0):
+        got = dc.overlaps(d, b, most).collect()
+        assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == len(want)
+
+
 def data(spark):
     r = random.Random(4)
     words = [f"w{i}" for i in range(300)]
