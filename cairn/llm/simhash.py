@@ -3,15 +3,16 @@
 A fingerprint is eight positional bytes. Two fingerprints that differ in at most four bits differ in at most four bytes, so
 they share at least four of the eight positional bytes: that is the guaranteed minimum of matches. Postings of single bytes
 would be 1/256 of all fingerprints, so the index posts combinations of three positional bytes: the twenty triples of TRIPLES
-meet every choice of four positions (a Turan covering), hence every pair with four matches shares a posting. Within a posting the
-shared bytes of a pair are tallied, pairs under the minimum are dropped, and the rest are verified on all 64 bits.
+meet every choice of four positions (a Turan covering), hence every pair with four matches shares a posting. In a posting the
+shared positional bytes of each pair are tallied over all eight positions, pairs under the minimum are dropped, and only those that are left are
+verified on all 64 bits.
 
 A posting of near-equal fingerprints would yield a number of pairs that grows with its square. Postings therefore return a
 spanning forest of their links (search over the members not yet reached), which joins exactly what all pairs would join;
 postings over BLOCK members are split into pairs of blocks, each a task's work of its own. Equal fingerprints are one vertex.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; texts with fewer than four words are one
-shingle; repeated rows share a component; a row with a null doc_id is returned with the component of its fingerprint's class,
+shingle; very long texts are hashed whole, in memory of some 60 bytes for each of theirs; a bit set in exactly half of the shingles is zero; repeated rows share a component; a row with a null doc_id is returned with the component of its fingerprint's class,
 whose id is the least doc_id that is not null (null where there is none); no rows give no rows; further columns are ignored.
 """
 
@@ -25,13 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import checkpoint, id_text, small_batches
+from cairn.llm.common import checkpoint, id_text, small_batches, spread_join, unused
 from cairn.llm.components import components
 
 BITS = 4
 LEAST_MATCHES = 8 - BITS
 BLOCK = 2048
 FAN = 32
+#: Postings up to this are searched pair by pair, all pairs at once.
+PAIRED = 256
 
 
 def _triples() -> list[tuple[int, int, int]]:
@@ -93,16 +96,29 @@ def postings(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*keys)).alias("posting"), "fp")
 
 
+_LOW = np.uint64(0x7F7F7F7F7F7F7F7F)
+
+
+def tally(apart: np.ndarray) -> np.ndarray:
+    """How many of the eight positional bytes two fingerprints share, of the bits in which they differ: a shared byte is zero there."""
+    return np.bitwise_count(~(((apart & _LOW) + _LOW) | apart | _LOW))
+
+
+def linked(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """Where pairs are links: counted first, and verified only where the count reaches the minimum."""
+    apart = a ^ b
+    out = tally(apart) >= LEAST_MATCHES
+    out[out] = np.bitwise_count(apart[out]) <= BITS
+    return out
+
+
 def _forest(fps: np.ndarray) -> list[tuple[int, int]]:
     """Edges that join exactly the members of one posting that chains of links join; a component's edges form a tree of fan FAN."""
     left, edges = np.sort(fps), []
     while len(left):
         found, todo, left = [left[0]], [left[0]], left[1:]
         while todo and len(left):
-            apart = left ^ todo.pop()
-            near = np.bitwise_count(apart) <= BITS  # the verification; it holds only where at least LEAST_MATCHES bytes are shared
-            matches = (apart[near].view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            near[near] = matches >= LEAST_MATCHES
+            near = linked(left, todo.pop())
             todo += (new := left[near].tolist())
             found += new
             left = left[~near]
@@ -111,6 +127,16 @@ def _forest(fps: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def _links_of(fps: np.ndarray) -> np.ndarray:
+    """Edges of one posting: its linked pairs where these are few, else its forest."""
+    if len(fps) <= PAIRED:
+        i, j = np.triu_indices(len(fps), 1)
+        near = linked(fps[j], fps[i])
+        if near.sum() <= 2 * len(fps):
+            return np.stack([fps[j[near]], fps[i[near]]], axis=1)
+    return np.array(_forest(fps), np.uint64).reshape(-1, 2)
+
+
 def links(posted: DataFrame) -> DataFrame:
     """(key..., fp) dealt by key and sorted -> edges (a, b) between fingerprints that differ in at most BITS bits."""
 
@@ -118,21 +144,17 @@ def links(posted: DataFrame) -> DataFrame:
         keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
         def out(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            """Short postings: pairs at each distance along the sorted run, tallied, then verified; long ones: forests."""
-            a, b = [], []
+            """Short postings: pairs at each distance along the sorted run; longer ones each by itself."""
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
             size = np.diff(np.r_[starts, len(keys)])
-            short = np.repeat(size <= 8, size)
+            short, found = np.repeat(size <= 8, size), []
             for d in range(1, 8):
                 at = np.flatnonzero((keys[d:] == keys[:-d]) & short[d:])
-                apart = fps[at + d] ^ fps[at]
-                at = at[((apart.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= LEAST_MATCHES) & (apart != 0)]
-                at = at[np.bitwise_count(fps[at + d] ^ fps[at]) <= BITS]
-                a.append(fps[at + d])
-                b.append(fps[at])
-            long = [e for s, n in zip(starts[size > 8].tolist(), size[size > 8].tolist(), strict=True) for e in _forest(fps[s : s + n])]
-            e = np.array(long, np.uint64).reshape(-1, 2)
-            e = np.unique(np.stack([np.concatenate([*a, e[:, 0]]), np.concatenate([*b, e[:, 1]])], axis=1), axis=0)
+                at = at[linked(fps[at + d], fps[at])]
+                found.append(np.stack([fps[at + d], fps[at]], axis=1))
+            found += [_links_of(fps[s : s + n]) for s, n in zip(starts[size > 8].tolist(), size[size > 8].tolist(), strict=True)]
+            e = np.concatenate(found)
+            e = np.unique(e[e[:, 0] != e[:, 1]], axis=0)
             return pa.record_batch([pa.array(e[:, 0].copy().view(np.int64)), pa.array(e[:, 1].copy().view(np.int64))], ["a", "b"])
 
         for batch in batches:
@@ -165,20 +187,20 @@ def link_edges(fps: DataFrame) -> DataFrame:
 
 
 def _rooted(rows: DataFrame) -> DataFrame:
-    """doc_id, fp -> fp, least (doc_id of the fingerprint), root (the component): one row for each fingerprint."""
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    """doc_id, fp -> fp, rows (with it), least (doc_id of the fingerprint), root (the component): one row for each fingerprint."""
+    classes = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")))
     edges = checkpoint(link_edges(classes.select("fp")))
     roots = components(edges)
-    return classes.join(roots, classes["fp"] == roots["v"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return classes.join(roots, classes["fp"] == roots["v"], "left").select("fp", "rows", "least", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the least doc_id reachable over links of at most BITS bits."""
     rows = checkpoint(fingerprints(docs))
-    named = _rooted(rows)
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
-    out = rows.join(named, "fp")
+    rooted = checkpoint(_rooted(rows))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    named = spread_join(rooted.select("fp", "rows", "root"), least, "root", "members").select("fp", "rows", "component_id")
+    out = spread_join(rows, named, "fp", "rows")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -195,16 +217,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     other components have none. Of rows equal in all columns one stays; only those are shuffled with their texts for that.
     """
     small_batches(docs.sparkSession)
+    rid, times = unused(docs, "rid"), unused(docs, "times")
     asked = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), _row_hash(docs).alias("rid"))
     rows = checkpoint(asked.mapInArrow(_run, "doc_id long, fp long, rid long"))
-    roots = _rooted(rows).select("fp", "root")
+    roots = checkpoint(_rooted(rows)).select("fp", "root", F.col("rows").alias("times"))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")
-    counted = rows.groupBy("doc_id", "fp", "rid").agg(F.count(F.lit(1)).alias("rows")).join(roots, "fp")
+    counted = rows.groupBy("doc_id", "fp", "rid").agg(F.count(F.lit(1)).alias("rows"))
+    counted = spread_join(counted, roots, "fp", "times")
     kept = counted.groupBy("root").agg(F.min_by(F.struct("doc_id", "rid", "rows"), place).alias("kept")).select("root", "kept.*")
     # an id that is null is nobody's: those rows are told apart by their component
     kept = kept.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("root")).alias("own")).agg(F.min_by(F.struct("rid", "rows"), "rid").alias("kept"))
-    kept = checkpoint(kept.select(F.col("kept.rid").alias("_rid"), F.col("kept.rows").alias("_rows")))
-    once = docs.join(kept.filter("_rows = 1"), _row_hash(docs) == kept["_rid"], "left_semi")
-    again = docs.join(kept.filter("_rows > 1"), _row_hash(docs) == kept["_rid"], "left_semi")
-    first = again.groupBy(_row_hash(again).alias("_rid")).agg(F.first(F.struct(*again.columns)).alias("_row"))
-    return once.unionByName(first.select("_row.*"))
+    kept = checkpoint(kept.select(F.col("kept.rid").alias(rid), F.col("kept.rows").alias(times)))
+    once = docs.join(kept.filter(F.col(times) == 1), _row_hash(docs) == kept[rid], "left_semi")
+    again = docs.join(kept.filter(F.col(times) > 1), _row_hash(docs) == kept[rid], "left_semi")
+    first = again.groupBy(_row_hash(again).alias(rid)).agg(F.first(F.struct(*again.columns)).alias(times))
+    return once.unionByName(first.select(f"{times}.*"))

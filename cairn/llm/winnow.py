@@ -8,25 +8,28 @@ entry before (at most w; the first from -1) and four for the hash.
 Defined cases: null text is empty; an empty text has the empty fingerprint; a text under k code points has one entry, the hash of
 the whole; two empty fingerprints are alike (1), an empty and another are not (0). A null doc_id comes before all ids; rows of
 one doc_id follow in order of their text's hash and text, so that repeated rows are each other's neighbours; the only row of a table is
-its own neighbour; an empty table gives no rows; further columns are ignored.
+its own neighbour; a very long text is worked on whole, in memory of some 100 bytes for each code point; all rows of one doc_id are one run, as each needs the next; an empty table
+gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import id_text, mix
 
 K, W = 16, 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: The most ranges of doc_id; each becomes one run of rows that are worked through in order.
-RANGES = 1024
+#: The most ranges of doc_id (eight for each task of a shuffle); each becomes one run of rows that are worked through in order.
+RANGES = 1 << 16
 
 
 def gram_hashes(points: np.ndarray, k: int = K) -> np.ndarray:
@@ -97,6 +100,19 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _longs(values: list[int | None]) -> Column:
+    """A constant array, however long."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
+def _run_of(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are below key: found among every `step`-th one first, then among those up to the next."""
+    step = max(1, math.isqrt(len(bounds)))
+    below = lambda among: F.size(F.filter(among, lambda x: x < key))
+    part = F.greatest(below(_longs(bounds[::step])) - 1, F.lit(0)) * step
+    return part + below(F.slice(_longs(bounds), part + 1, F.lit(step)))
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """doc_id, text, run, guest: rows dealt by ranges of doc_id and sorted, each run closed by a guest, the next run's first row.
 
@@ -106,16 +122,16 @@ def in_order(docs: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = id_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
     runs = min(RANGES, 8 * n)
-    bounds = rows.agg(F.percentile_approx("key", [i / runs for i in range(1, runs)], 100 * runs)).first()[0]
+    bounds = rows.agg(F.percentile_approx("key", [i / runs for i in range(1, runs)], min(100 * runs, 1 << 20))).first()[0]
     bounds = sorted(set(bounds or []))
-    run = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col("key"))) if bounds else F.lit(0)
-    rows = rows.withColumn("run", run.cast("int"))
+    rows = rows.withColumn("run", (_run_of(F.col("key"), bounds) if bounds else F.lit(0)).cast("int"))
     first = dict(rows.groupBy("run").agg(F.min("key")).collect())
     order = sorted(first)
-    before = {first[r]: order[i - 1] for i, r in enumerate(order)}  # the run that a first row closes as a guest
-    if not before:
+    if not order:
         return rows.select("doc_id", "text", "run", F.lit(False).alias("guest"))
-    closes = F.element_at(F.create_map(*[F.lit(x).cast(t) for k, v in before.items() for x, t in ((k, "long"), (v, "int"))]), F.col("key"))
+    before = {r: order[i - 1] for i, r in enumerate(order)}  # the run that a run's first row closes as a guest; the first of all closes the last run
+    at = range(order[-1] + 1)
+    closes = F.when(F.get(_longs([first.get(r) for r in at]), F.col("run")) == F.col("key"), F.get(_longs([before.get(r) for r in at]), F.col("run"))).cast("int")
     own = F.struct(F.col("run"), F.lit(False).alias("guest"))
     rows = rows.withColumn("closes", closes).withColumn("at", F.explode(F.when(F.col("closes").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("closes").alias("run"), F.lit(True).alias("guest"))))))
     rows = rows.select("doc_id", "text", "key", F.xxhash64("text").alias("tie"), "at.run", "at.guest")

@@ -42,6 +42,20 @@ def test_triples_meet_every_four_positions():
     assert all(any(set(t) <= set(four) for t in sh.TRIPLES) for four in itertools.combinations(range(8), 4))
 
 
+def test_tally_counts_shared_bytes():
+    r = np.random.default_rng(0)
+    x = r.integers(0, 2**64, 4000, dtype=np.uint64)
+    keep = r.integers(0, 256, 4000, dtype=np.uint64)
+    mask = sum(((keep >> np.uint64(i)) & np.uint64(1)) * np.uint64(0xFF << (8 * i)) for i in range(8))
+    apart = x & mask
+    assert (sh.tally(apart) == (apart.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)).all()
+
+
+def test_a_very_long_text():
+    t = "one two three four five six " * 30_000
+    assert sh.fingerprint(t.encode()) == slow_fingerprint(t)
+
+
 def test_fingerprints():
     for t in ("", " \n", "One", "a b c", "A b C d", "the cat sat on the mat " * 30, "Ünïcode wörter sind ok É"):
         assert sh.fingerprint(t.encode()) == slow_fingerprint(t)
@@ -82,8 +96,9 @@ def test_links_join_what_all_pairs_join(spark, monkeypatch):
     rows = [(i, f) for i, f in enumerate(sorted(fps))]
     signed = lambda f: f - 2**64 if f >= 2**63 else f
     frame = spark.createDataFrame([(i, signed(f)) for i, f in rows], "doc_id long, fp long")
-    for block in (2048, 16):
+    for block, paired in ((2048, 256), (16, 256), (2048, 0)):
         monkeypatch.setattr(sh, "BLOCK", block)
+        monkeypatch.setattr(sh, "PAIRED", paired)
         edges = sh.link_edges(frame.select("fp"))
         assert all((a ^ b & (2**64 - 1)) and ((a ^ b) & (2**64 - 1)).bit_count() <= 64 for a, b in edges.collect())
         root = {x.v: x.root for x in components(edges).collect()}

@@ -69,3 +69,21 @@ def test_repeated_rows_and_null_ids(spark):
     got = winnow.fingerprints(docs).collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "1", "1", "None", "None"]
     assert winnow.fingerprints(docs.filter("text = 'z'")).first().near_next == 1
+
+
+def test_runs(spark):
+    bounds = sorted({(i * i * 7919) % 100_003 - 50_000 for i in range(1000)})
+    keys = [*bounds, *(b + 1 for b in bounds), -(2**63), 2**63 - 1, 0]
+    frame = spark.createDataFrame([(k,) for k in keys], "key long")
+    for few in (bounds, bounds[:1], bounds[:2], bounds[:7]):
+        got = frame.select("key", winnow._run_of(winnow.F.col("key"), few).alias("run")).collect()
+        assert all(r.run == sum(b < r.key for b in few) for r in got)
+
+
+def test_a_very_long_text_and_many_runs(spark):
+    rows = [(i * 3, f"text number {i} " * (1 + i % 5)) for i in range(2000)] + [(10**6, "a long one, all of it " * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in winnow.fingerprints(docs).collect()}
+    for n, (i, t) in enumerate(rows):
+        following = rows[(n + 1) % len(rows)][1]
+        assert got[i].edited_sha256 == hashlib.sha256(winnow.edited(t, following).encode()).hexdigest()
