@@ -79,6 +79,26 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, rows: str, how: str
     return out.select(*left.columns, *(got[c].alias(c) for c in right.columns if c not in (key, rows)))
 
 
+#: Bits of a bitmap that tells tasks which of very many hashes may be wanted; its size is fixed, whatever their number.
+BITMAP = 1 << 26
+
+
+def bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """The bitmap in which the places (upper bits) of a column's 64-bit hashes are set."""
+    place = F.shiftrightunsigned(column, 65 - BITMAP.bit_length())
+    bits = df.select(place.alias("place")).selectExpr("shiftright(place, 6) as word", "shiftleft(1L, cast(place & 63 as int)) as bit")
+    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most BITMAP / 64 rows
+    out = np.zeros(BITMAP // 64, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash (uint64) may be among those that the bitmap was made of."""
+    place = hashes >> np.uint64(65 - BITMAP.bit_length())
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns under fixed names (doc_id, text; null text: empty), whatever else docs holds."""
     small_batches(docs.sparkSession)

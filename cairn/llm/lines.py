@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import checkpoint, mix, spread_join, unused, utf8
+from cairn.llm.common import bitmap, checkpoint, in_bitmap, mix, spread_join, unused, utf8
 from cairn.llm.components import components
 from cairn.llm.substring import _spans, keyed
 
@@ -47,8 +47,6 @@ HELD, PACK, BUCKETS = 1 << 18, 32, 8
 AGREE = 66
 #: A group with more pairs for each member than this is searched as a whole.
 PAIRS = 4
-#: Bits of the bitmap that tells tasks which lines' texts may be wanted.
-WANTED_BITS = 1 << 26
 
 #: A bin without a shingle.
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -473,20 +471,9 @@ def candidates(rows: DataFrame) -> DataFrame:
     return groups.union(dealt.mapInArrow(_streamed(_by_sketch, _sketches_of), "key long, line long")).distinct()
 
 
-def _wanted(lines: DataFrame) -> np.ndarray:
-    """A bitmap of WANTED_BITS bits in which the places of the lines' hashes are set; it tells what may be wanted, and its size is fixed."""
-    place = F.shiftrightunsigned("line", 64 - WANTED_BITS.bit_length() + 1)
-    bits = lines.select(place.alias("place")).selectExpr("shiftright(place, 6) as word", "shiftleft(1L, cast(place & 63 as int)) as bit")
-    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most WANTED_BITS / 64 rows
-    out = np.zeros(WANTED_BITS // 64, np.uint64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
 def placed_lines(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """line (hash), place (id, number, rid of the first), n, said and signature (trimmed text and half bytes, of the wanted lines): the lines that are wanted or occur again."""
-    shared_bits = rows.sparkSession.sparkContext.broadcast(_wanted(wanted))
-    down = np.uint64(64 - WANTED_BITS.bit_length() + 1)
+    shared_bits = rows.sparkSession.sparkContext.broadcast(bitmap(wanted, "line"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared_bits.value
@@ -497,10 +484,8 @@ def placed_lines(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 full = end > start
                 text, number, start, end = text[full], number[full], start[full], end[full]
                 line = _spans(raw, start, end)
-                place = line >> down
-                named = (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
                 said, signature, body = [None] * len(line), [None] * len(line), raw.tobytes()
-                named = np.flatnonzero(named)
+                named = np.flatnonzero(in_bitmap(bits, line))
                 if len(i := np.sort(named[np.unique(line[named], return_index=True)[1]])):  # each text once
                     for i, x in zip(i.tolist(), _half_bytes(*shingles(raw, start[i], end[i])), strict=True):
                         said[i], signature[i] = body[start[i] : end[i]], x

@@ -1,35 +1,40 @@
 """Substring dedup: words covered by a window of WINDOW words whose sequence also starts elsewhere are removed.
 
-Texts are streams of word hashes. Windows go to shards by content: a window's minimiser is the least hash of its GRAM-word
-grams, equal windows have equal minimisers, and successive windows with one minimiser travel as one segment. Only minimisers that
-occur more than once are looked at further. Equal segments are one, held twice. Each shard then builds a compressed FM-index over its segments
+Texts are streams of word hashes. Windows go to shards by content: a window's minimiser is the least hash of its grams (GRAMS[0] words),
+equal windows have equal minimisers, and successive windows with one minimiser travel as one segment. Only minimisers that
+occur more than once are looked at further. Equal segments are one, held twice. Each shard builds a compressed FM-index over its segments
 and streams them against it: backward search over the wavelet matrix gives the matching statistics at window ends, cut off at
 WINDOW; those that reach it are repeated windows, and the interval from the first to the last of a segment is reported.
 
-Shards take whole minimisers up to SHARD words. A minimiser with more than HOT different segments is not gathered: its windows are
-counted one by one under their own hash (with partial sums), which gives the same windows.
+A shard takes whole minimisers, up to SHARD words. A minimiser with more than HOT different segments is split into shards of its own: its segments are cut
+anew by longer minimisers (GRAMS[1] words, then, where that is as crowded, WINDOW words, which only equal windows share), so that no shard's index grows with the input.
+
+Texts aren't moved to where their repeats are known. Chosen places of segments and texts with spans are marked in bitmaps of fixed size that go
+to every task; a task hands on only what is marked, and exact joins sort out what is marked by chance.
 
 Defined cases: null and empty texts have no words; texts under WINDOW words keep all; a window that overlaps its copy in the same
-text counts; repeated rows are copies of each other; null doc_ids are ids of their own; an empty table gives no rows; further columns are ignored.
+text counts; repeated rows are copies of each other; null doc_ids are ids of their own; of equal segments the least place is read; a very long text is worked
+on whole, in memory of some 60 bytes for each of its; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import checkpoint, id_text, mix, utf8
+from cairn.llm.common import bitmap, checkpoint, id_text, in_bitmap, mix, spread_join, utf8
 from cairn.llm.fmindex import FMIndex
 
-WINDOW, GRAM = 35, 16
+WINDOW, GRAMS = 35, (16, 28, 35)
 SHARD, HOT = 150_000, 1024
-#: The most texts whose spans are broadcast; beyond that, both sides are dealt by text.
-BROADCAST_TEXTS = 250_000
+#: Places that a task remembers, to hand each on but once.
+SEEN = 1 << 16
 #: Bytes of text whose words are hashed at once.
 PORTION = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -80,16 +85,22 @@ def portions(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.
         lo = hi
 
 
-def segments(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(h: np.ndarray, first: np.ndarray, gram: int = GRAMS[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes and each text's first word -> segments: first window, windows, minimiser (48 bits), hash of its words."""
     n = len(h) - WINDOW + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int64),) * 2
-    g, size, power = h, 1, np.uint64(_BASE)
-    while size < GRAM:
-        g, size, power = g[:-size] + g[size:] * power, size * 2, power * power
-    g = (mix(g) & np.uint64(0xFFFFFFFFFFFF0000)) | (np.uint64(0xFFFF) - (np.arange(len(g), dtype=np.uint64) & np.uint64(0xFFFF)))
-    width, low, size = WINDOW - GRAM + 1, g, 1
+    # the hash of gram words by doubling, the bits of gram from the lowest on
+    g, size, done, done_size = h, 1, None, 0
+    up = np.uint64(_BASE)
+    while True:
+        if gram & size:
+            done, done_size = (g, size) if done is None else (done[: len(h) - done_size - size + 1] + g[done_size : len(h) - size + 1] * np.uint64(pow(_BASE, done_size, 2**64)), done_size + size)
+        if size * 2 > gram:
+            break
+        g, size, up = g[:-size] + g[size:] * up, size * 2, np.uint64(int(up) ** 2 % 2**64)
+    g = (mix(done) & np.uint64(0xFFFFFFFFFFFF0000)) | (np.uint64(0xFFFF) - (np.arange(len(done), dtype=np.uint64) & np.uint64(0xFFFF)))
+    width, low, size = WINDOW - gram + 1, g, 1
     while size * 2 <= width:
         low, size = np.minimum(low[:-size], low[size:]), size * 2
     low = np.minimum(low[:n], low[width - size :][:n])
@@ -154,32 +165,64 @@ def repeated_minimisers(found: DataFrame) -> DataFrame:
     return found.repartition(n, "minimiser").sortWithinPartitions("minimiser").mapInArrow(run, found.schema)
 
 
+def _place(rid: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return mix(rid.view(np.uint64) ^ mix(start.astype(np.uint64) + np.uint64(1)))
+
+
 def extract(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: one place of each segment (id, rid, start, count, minimiser, segment, n, hot) -> its words, or a hot one's window hashes."""
-    each = wanted.groupBy("id", "rid").agg(F.collect_list(F.struct("start", "count", "minimiser", "segment", "n", "hot")).alias("want"))
-    once = rows.join(each, ["id", "rid"])
+    """wanted: one place of each segment (rid, start, minimiser, segment, n, hot) -> minimiser, segment, count, n, hot, words."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(_place(batch.column(0).to_numpy(), batch.column(1).to_numpy()).view(np.int64))], ["place"])
+
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(wanted.select("rid", "start").mapInArrow(hashed, "place long"), "place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = shared.value, np.zeros(0, np.uint64)
         for batch in batches:
-            want = batch.column(1)
-            for lo, hi, raw, at in portions(batch, 0):
+            rids = batch.column(0).to_numpy()
+            if len(seen) > SEEN:
+                seen = seen[:0]
+            for lo, hi, raw, at in portions(batch, 1):
                 starts, ends, first = words_of(raw, at)
                 h = _spans(raw, starts, ends)
-                out: list[tuple] = []
-                for row in range(lo, hi):
-                    base = int(first[row - lo])
-                    for w in want[row].as_py():
-                        a = base + w["start"]
-                        if w["hot"]:
-                            s = np.arange(a, a + w["count"])
-                            out += [(x, w["minimiser"], w["segment"], i, w["n"], None) for i, x in enumerate(_spans(h, s, s + WINDOW).view(np.int64).tolist())]
-                        else:
-                            out.append((None, w["minimiser"], w["segment"], w["count"], w["n"], h[a : a + w["count"] + WINDOW - 1].tobytes()))
-                if out:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["window", "minimiser", "segment", "count", "n", "words"])
-
-    return once.select("text", "want").mapInArrow(run, "window long, minimiser long, segment long, count int, n long, words binary")
+                start, count, low, whole = segments(h, first)
+                row = np.searchsorted(first, start, "right") - 1
+                rid, within = rids[lo:hi][row], start - first[row]
+                place = _place(rid, within)
+                good = np.flatnonzero(in_bitmap(bits, place))
+                good = good[np.unique(place[good], return_index=True)[1]]
+                good = good[~np.isin(place[good], seen)]
+                seen = np.r_[seen, place[good]]
+                words = [h[a : a + n + WINDOW - 1].tobytes() for a, n in zip(start[good].tolist(), count[good].tolist(), strict=True)]
+                yield pa.record_batch([pa.array(rid[good]), pa.array(within[good].astype(np.int32)), pa.array(low[good]), pa.array(whole[good]), pa.array(count[good].astype(np.int32)), pa.array(words, pa.binary())], ["rid", "start", "minimiser", "segment", "count", "words"])
+
+    found = rows.select("rid", "text").mapInArrow(run, "rid long, start int, minimiser long, segment long, count int, words binary")
+    both = found.join(wanted.select("rid", "start", "minimiser", "segment", "n", "hot"), ["segment", "minimiser", "rid", "start"])
+    # equal rows hand on one place several times
+    return both.groupBy("minimiser", "segment").agg(F.first("count").alias("count"), F.max("n").alias("n"), F.max("hot").alias("hot"), F.first("words").alias("words"))
+
+
+def recut(found: DataFrame, gram: int) -> DataFrame:
+    """Segments (minimiser, segment, count, n, words, owner, skipped) cut anew by longer minimisers, below their own: the pieces, with the segment that each is of and where."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                words = part.column(4).to_pylist()
+                sizes = np.array([len(w) // 8 for w in words], np.int64)
+                h, first = np.frombuffer(b"".join(words), np.uint64), np.r_[0, np.cumsum(sizes)]
+                start, count, low, whole = segments(h, first, gram)
+                row = np.searchsorted(first, start, "right") - 1
+                key = mix(part.column(0).to_numpy().view(np.uint64)[row] ^ mix(low.view(np.uint64) + np.uint64(gram))).view(np.int64)
+                skipped = part.column(6).to_numpy()[row] + (start - first[row])
+                said = [h[a : a + n + WINDOW - 1].tobytes() for a, n in zip(start.tolist(), count.tolist(), strict=True)]
+                yield pa.record_batch([pa.array(key), pa.array(whole), pa.array(count.astype(np.int32)), pa.array(part.column(3).to_numpy()[row]), pa.array(said, pa.binary()), pa.array(part.column(5).to_numpy()[row]), pa.array(skipped.astype(np.int32))], names)
+
+    names = ["minimiser", "segment", "count", "n", "words", "owner", "skipped"]
+    return found.select(*names).mapInArrow(run, "minimiser long, segment long, count int, n long, words binary, owner long, skipped int")
 
 
 def search(minimiser: np.ndarray, count: np.ndarray, copies: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -221,8 +264,8 @@ def search(minimiser: np.ndarray, count: np.ndarray, copies: np.ndarray, words:
     return first, last
 
 
-def repeated_windows(found: DataFrame) -> DataFrame:
-    """What extract gives -> minimiser, segment, first, last: the repeated windows' bounds."""
+def indexed(found: DataFrame) -> DataFrame:
+    """minimiser, segment, count, n, words -> minimiser, segment, first, last: the repeated windows' bounds, by the FM-index of each shard."""
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "minimiser long, segment long, first int, last int"
 
@@ -252,12 +295,34 @@ def repeated_windows(found: DataFrame) -> DataFrame:
         if held and (t := pa.Table.from_batches(held)).num_rows:
             yield shard(t)
 
-    cold = found.filter("window is null").select("minimiser", "segment", "count", "n", "words")
-    cold = cold.repartition(n, "minimiser").sortWithinPartitions("minimiser").mapInArrow(run, schema)
-    hot = found.filter("window is not null")
-    often = hot.groupBy("minimiser", "window").agg(F.sum("n").alias("total")).filter("total > 1").select("minimiser", "window")
-    hot = hot.join(often, ["minimiser", "window"]).groupBy("minimiser", "segment").agg(F.min("count").alias("first"), F.max("count").alias("last"))
-    return cold.unionByName(hot)
+    found = found.select("minimiser", "segment", "count", "n", "words")
+    return found.repartition(n, "minimiser").sortWithinPartitions("minimiser").mapInArrow(run, schema)
+
+
+def crowded(found: DataFrame) -> DataFrame:
+    """found with hot: whether a row's minimiser has more than HOT rows (distinct segments)."""
+    counts = found.groupBy("minimiser").agg(F.count(F.lit(1)).alias("rows")).withColumn("hot", F.col("rows") > HOT)
+    return spread_join(found, counts.select("minimiser", "hot", "rows"), "minimiser", "rows")
+
+
+def repeated_windows(found: DataFrame) -> DataFrame:
+    """What extract gives -> segment, first, last: the repeated windows' bounds, counted in windows of the segment."""
+    out = indexed(found.filter("not hot")).select("segment", "first", "last")
+    left = found.filter("hot").withColumn("owner", F.col("segment")).withColumn("skipped", F.lit(0))
+    for gram in GRAMS[1:]:
+        if not left.head(1):
+            break
+        pieces = checkpoint(recut(left, gram))
+        distinct = pieces.groupBy("minimiser", "segment").agg(F.sum("n").alias("n"), F.first("count").alias("count"), F.first("words").alias("words"))
+        distinct = checkpoint(crowded(distinct.select("minimiser", "segment", "count", "n", "words"))) if gram < WINDOW else distinct.withColumn("hot", F.lit(False))
+        bounds = indexed(distinct.filter("not hot"))
+        own = pieces.select("minimiser", "segment", "owner", "skipped")
+        found = own.join(bounds, ["minimiser", "segment"]).groupBy("owner").agg(F.min(F.col("skipped") + F.col("first")).cast("int").alias("first"), F.max(F.col("skipped") + F.col("last")).cast("int").alias("last"))
+        out = out.unionByName(found.select(F.col("owner").alias("segment"), "first", "last"))
+        if gram < WINDOW:
+            crowd = distinct.filter("hot").select("minimiser", "segment", F.col("n").alias("total"))
+            left = checkpoint(pieces.join(crowd, ["minimiser", "segment"]).drop("total"))
+    return out.groupBy("segment").agg(F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 def merged(spans: Column) -> Column:
@@ -273,34 +338,41 @@ def merged(spans: Column) -> Column:
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """keyed rows -> id, rid, spans: the stretches of words to remove (start, end), for the texts that have any."""
-    found = checkpoint(repeated_minimisers(occurrences(rows)))
-    hot = found.groupBy("minimiser").agg(F.approx_count_distinct("segment").alias("different")).filter(F.col("different") > HOT).select("minimiser", F.lit(True).alias("hot"))
-    one = found.groupBy("minimiser", "segment").agg(F.sum("times").alias("n"), F.min(F.struct("id", "rid", "start", "count")).alias("place"))
-    one = one.join(hot, "minimiser", "left").select("place.*", "minimiser", "segment", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
-    bounds = checkpoint(repeated_windows(extract(rows, one)))
+    """keyed rows -> rid, spans: the stretches of words to remove (start, end), for the texts that have any; pieces: how many rows they were made of."""
+    found = checkpoint(repeated_minimisers(occurrences(rows)), free=True)
+    one = found.groupBy("minimiser", "segment").agg(F.sum("times").alias("n"), F.min(F.struct("rid", "start")).alias("place")).select("place.*", "minimiser", "segment", "n")
+    one = checkpoint(crowded(one))
+    bounds = repeated_windows(checkpoint(extract(rows, one), free=True))
+    bounds = checkpoint(bounds.join(one.select("segment", "n"), "segment"))
     end = F.col("start") + (F.col("times") - 1) * F.col("count") + F.col("last") + WINDOW
-    spans = found.join(bounds, ["minimiser", "segment"]).select("id", "rid", F.struct((F.col("start") + F.col("first")).alias("start"), end.alias("end")).alias("span"))
-    return spans.groupBy("id", "rid").agg(merged(F.sort_array(F.collect_set("span"))).alias("spans"))
+    spans = spread_join(found.select("rid", "start", "count", "times", "segment"), bounds, "segment", "n").select("rid", F.struct((F.col("start") + F.col("first")).alias("start"), end.alias("end")).alias("span"))
+    return spans.groupBy("rid").agg(merged(F.sort_array(F.collect_set("span"))).alias("spans"), F.count(F.lit(1)).alias("pieces"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept: the words left, joined by one blank."""
-    rows = keyed(docs)
-    spans = checkpoint(repeated_spans(rows))
-    if spans.count() <= BROADCAST_TEXTS:  # few texts have any: then none needs to be moved
-        spans = F.broadcast(spans)
-    both = rows.join(spans, ["id", "rid"], "left").select("doc_id", "text", "spans")
+    rows = keyed(docs).select("doc_id", "rid", "text")
+    spans = checkpoint(repeated_spans(keyed(docs)), free=True)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(spans, "rid"))
+
+    def marked(wanted: bool) -> Callable:
+        """The rows whose text is, or isn't, marked as having spans."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(in_bitmap(shared.value, batch.column(1).to_numpy().view(np.uint64)) == wanted))
+
+        return run
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 n, removed, kept = [], [], []
-                for text, spans in zip(part.column(1), part.column(2), strict=True):
+                for text, spans in zip(part.column(2), part.column(3) if part.num_columns > 3 else repeat(None), strict=False):
                     words = text.as_buffer().to_pybytes().split()
                     total, left, upto = len(words), [], 0
-                    for s in spans.as_py() or ():
+                    for s in (spans.as_py() if spans else None) or ():
                         left += words[upto : s["start"]]
                         upto = max(upto, s["end"])
                     left += words[upto:]
@@ -309,4 +381,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     kept.append(b" ".join(left).decode())
                 yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    out = "doc_id long, n_words long, n_removed long, kept string"
+    near = spread_join(rows.mapInArrow(marked(True), rows.schema), spans, "rid", "pieces", "left")
+    far = marked(False)
+    return near.mapInArrow(run, out).union(rows.mapInArrow(lambda batches: run(far(batches)), out))

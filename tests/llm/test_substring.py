@@ -63,16 +63,45 @@ def corpus(seed=3):
     return docs
 
 
-@pytest.mark.parametrize(("hot", "shard"), [(4096, 150_000), (2, 150_000), (4096, 2_000)])
+@pytest.mark.parametrize(("hot", "shard"), [(4096, 150_000), (2, 150_000), (12, 150_000), (4096, 2_000)])
 def test_against_brute_force(spark, monkeypatch, hot, shard):
     monkeypatch.setattr(ss, "HOT", hot)
     monkeypatch.setattr(ss, "SHARD", shard)
-    monkeypatch.setattr(ss, "BROADCAST_TEXTS", 0 if hot == 2 else 1000)
     docs = corpus()
     frame = spark.createDataFrame([(*x, 1, "clash") for x in docs], "doc_id long, text string, start int, segment string")
     got = sorted(str(tuple(r)) for r in ss.remove_repeats(frame).collect())
     assert got == brute(docs)
 
 
+def test_segments_by_grams_of_any_length():
+    """Equal windows have equal minimisers, and segments cover each window once, for every length of gram."""
+    r = np.random.default_rng(5)
+    words = r.integers(0, 3, 400).astype(np.uint64)
+    words[200:300] = words[50:150]
+    h, first = ss.mix(words + np.uint64(1)), np.array([0, 30, 180, 400])
+    for gram in ss.GRAMS:
+        start, count, low, _ = ss.segments(h, first, gram)
+        of_window, seen = {}, []
+        for s, n, key in zip(start.tolist(), count.tolist(), low.tolist(), strict=True):
+            for w in range(s, s + n):
+                seen.append(w)
+                assert of_window.setdefault(tuple(words[w : w + ss.WINDOW].tolist()), key) == key
+        assert seen == [w for a, b in zip(first[:-1], first[1:], strict=True) for w in range(a, b - ss.WINDOW + 1)]
+
+
+def test_many_segments_of_one_minimiser(spark, monkeypatch):
+    """A common phrase in ever other company: its shard is split, and split again."""
+    monkeypatch.setattr(ss, "HOT", 8)
+    r = random.Random(8)
+    phrase, passage = [f"p{i}" for i in range(30)], [f"q{i}" for i in range(45)]
+    docs = []
+    for d in range(200):
+        x = [f"w{r.randrange(10**6)}" for _ in range(40)]
+        x[20:20] = phrase if d % 2 else passage[d % 9 :]
+        docs.append((d, " ".join(x)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(str(tuple(x)) for x in ss.remove_repeats(frame).collect()) == brute(docs)
+
+
 def test_no_rows(spark):
     assert ss.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
