@@ -95,7 +95,7 @@ def bitmap(df: DataFrame, column: str) -> np.ndarray:
 
 def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether each hash (uint64) may be among those that the bitmap was made of."""
-    place = hashes >> np.uint64(65 - BITMAP.bit_length())
+    place = hashes >> np.uint64(65 - (64 * len(bits)).bit_length())
     return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 

@@ -170,7 +170,7 @@ def _place(rid: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def extract(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: one place of each segment (rid, start, minimiser, segment, n, hot) -> minimiser, segment, count, n, hot, words."""
+    """wanted: one place of each segment (rid, start). Every place marked by them: rid, start, minimiser, segment, count, words (and some marked by chance)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,16 +192,13 @@ def extract(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 rid, within = rids[lo:hi][row], start - first[row]
                 place = _place(rid, within)
                 good = np.flatnonzero(in_bitmap(bits, place))
-                good = good[np.unique(place[good], return_index=True)[1]]
+                good = good[np.unique(place[good], return_index=True)[1]]  # equal rows hand on a place once
                 good = good[~np.isin(place[good], seen)]
                 seen = np.r_[seen, place[good]]
                 words = [h[a : a + n + WINDOW - 1].tobytes() for a, n in zip(start[good].tolist(), count[good].tolist(), strict=True)]
                 yield pa.record_batch([pa.array(rid[good]), pa.array(within[good].astype(np.int32)), pa.array(low[good]), pa.array(whole[good]), pa.array(count[good].astype(np.int32)), pa.array(words, pa.binary())], ["rid", "start", "minimiser", "segment", "count", "words"])
 
-    found = rows.select("rid", "text").mapInArrow(run, "rid long, start int, minimiser long, segment long, count int, words binary")
-    both = found.join(wanted.select("rid", "start", "minimiser", "segment", "n", "hot"), ["segment", "minimiser", "rid", "start"])
-    # equal rows hand on one place several times
-    return both.groupBy("minimiser", "segment").agg(F.first("count").alias("count"), F.max("n").alias("n"), F.max("hot").alias("hot"), F.first("words").alias("words"))
+    return rows.select("rid", "text").mapInArrow(run, "rid long, start int, minimiser long, segment long, count int, words binary")
 
 
 def recut(found: DataFrame, gram: int) -> DataFrame:
@@ -264,8 +261,26 @@ def search(minimiser: np.ndarray, count: np.ndarray, copies: np.ndarray, words:
     return first, last
 
 
-def indexed(found: DataFrame) -> DataFrame:
-    """minimiser, segment, count, n, words -> minimiser, segment, first, last: the repeated windows' bounds, by the FM-index of each shard."""
+def _chosen(t: pa.Table) -> pa.Table:
+    """Sorted by minimiser, segment and n: a wanted place of each segment (n, no words) is followed by what was extracted (no n): of that, the first from that place."""
+    key, seg, rid, start = (t.column(i).to_numpy() for i in (0, 1, 5, 6))
+    n = t.column(3).fill_null(0).to_numpy()
+    asked = np.maximum.accumulate(np.where(n > 0, np.arange(len(n)), -1))
+    good = np.flatnonzero((n == 0) & (asked >= 0))
+    of = asked[good]
+    same = (key[good] == key[of]) & (seg[good] == seg[of]) & (rid[good] == rid[of]) & (start[good] == start[of])
+    good, of = good[same], of[same]
+    new = np.r_[True, of[1:] != of[:-1]][: len(of)]
+    good, of = good[new], of[new]
+    out = t.take(pa.array(good))
+    return out.set_column(3, "n", pa.array(n[of]))
+
+
+def indexed(found: DataFrame, chosen: bool = False) -> DataFrame:
+    """minimiser, segment, count, n, words -> minimiser, segment, first, last: the repeated windows' bounds, by the FM-index of each shard.
+
+    chosen: found holds wanted places and extracted ones, with rid and start, and only the wanted are indexed.
+    """
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "minimiser long, segment long, first int, last int"
 
@@ -274,8 +289,9 @@ def indexed(found: DataFrame) -> DataFrame:
         words = 0
 
         def shard(t: pa.Table) -> pa.RecordBatch:
+            t = _chosen(t) if chosen else t
             key, seg, count, copies = (t.column(i).to_numpy() for i in range(4))
-            first, last = search(key, count.astype(np.int64), copies, t.column(4).to_pylist())
+            first, last = search(key, count.astype(np.int64), copies, t.column(4).to_pylist()) if len(key) else (np.zeros(0, np.int64),) * 2
             good = first >= 0
             return pa.record_batch([pa.array(x[good]) for x in (key, seg, first.astype(np.int32), last.astype(np.int32))], ["minimiser", "segment", "first", "last"])
 
@@ -283,7 +299,7 @@ def indexed(found: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 held.append(part)
-                words += part.num_rows * 45
+                words += part.num_rows * (22 if chosen else 45)
                 if words >= SHARD:  # the last minimiser may go on; what is before it is a shard
                     t = pa.Table.from_batches(held)
                     key = t.column(0).to_numpy()
@@ -295,8 +311,8 @@ def indexed(found: DataFrame) -> DataFrame:
         if held and (t := pa.Table.from_batches(held)).num_rows:
             yield shard(t)
 
-    found = found.select("minimiser", "segment", "count", "n", "words")
-    return found.repartition(n, "minimiser").sortWithinPartitions("minimiser").mapInArrow(run, schema)
+    found = found.select("minimiser", "segment", "count", "n", "words", *(["rid", "start"] if chosen else []))
+    return found.repartition(n, "minimiser").sortWithinPartitions("minimiser", *(["segment", F.desc_nulls_last("n")] if chosen else [])).mapInArrow(run, schema)
 
 
 def crowded(found: DataFrame) -> DataFrame:
@@ -305,23 +321,28 @@ def crowded(found: DataFrame) -> DataFrame:
     return spread_join(found, counts.select("minimiser", "hot", "rows"), "minimiser", "rows")
 
 
-def repeated_windows(found: DataFrame) -> DataFrame:
-    """What extract gives -> segment, first, last: the repeated windows' bounds, counted in windows of the segment."""
-    out = indexed(found.filter("not hot")).select("segment", "first", "last")
-    left = found.filter("hot").withColumn("owner", F.col("segment")).withColumn("skipped", F.lit(0))
+def repeated_windows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted: one place of each segment (rid, start, minimiser, segment, n, hot) -> segment, first, last: the repeated windows' bounds, counted in windows of the segment."""
+    cold = wanted.filter("not hot")
+    asked = cold.select("rid", "start", "minimiser", "segment", F.lit(None).cast("int").alias("count"), F.lit(None).cast("binary").alias("words"), "n")
+    both = asked.unionByName(extract(rows, cold).withColumn("n", F.lit(None).cast("long")))
+    out = checkpoint(indexed(both, chosen=True), free=True).select("segment", "first", "last")
+    hot = wanted.filter("hot").drop("hot")
+    if not hot.head(1):
+        return out
+    left = extract(rows, hot).join(hot, ["minimiser", "segment", "rid", "start"]).groupBy("minimiser", "segment").agg(F.first("count").alias("count"), F.max("n").alias("n"), F.first("words").alias("words"))
+    left = checkpoint(left.withColumn("owner", F.col("segment")).withColumn("skipped", F.lit(0)))
     for gram in GRAMS[1:]:
-        if not left.head(1):
-            break
         pieces = checkpoint(recut(left, gram))
-        distinct = pieces.groupBy("minimiser", "segment").agg(F.sum("n").alias("n"), F.first("count").alias("count"), F.first("words").alias("words"))
-        distinct = checkpoint(crowded(distinct.select("minimiser", "segment", "count", "n", "words"))) if gram < WINDOW else distinct.withColumn("hot", F.lit(False))
-        bounds = indexed(distinct.filter("not hot"))
+        distinct = pieces.groupBy("minimiser", "segment").agg(F.sum("n").alias("n"), F.first("count").alias("count"), F.first("words").alias("words")).select("minimiser", "segment", "count", "n", "words")
+        distinct = checkpoint(crowded(distinct) if gram < WINDOW else distinct.withColumn("hot", F.lit(False)))
         own = pieces.select("minimiser", "segment", "owner", "skipped")
-        found = own.join(bounds, ["minimiser", "segment"]).groupBy("owner").agg(F.min(F.col("skipped") + F.col("first")).cast("int").alias("first"), F.max(F.col("skipped") + F.col("last")).cast("int").alias("last"))
+        found = own.join(indexed(distinct.filter("not hot")), ["minimiser", "segment"]).groupBy("owner").agg(F.min(F.col("skipped") + F.col("first")).cast("int").alias("first"), F.max(F.col("skipped") + F.col("last")).cast("int").alias("last"))
         out = out.unionByName(found.select(F.col("owner").alias("segment"), "first", "last"))
-        if gram < WINDOW:
-            crowd = distinct.filter("hot").select("minimiser", "segment", F.col("n").alias("total"))
-            left = checkpoint(pieces.join(crowd, ["minimiser", "segment"]).drop("total"))
+        crowd = distinct.filter("hot").select("minimiser", "segment")
+        if not crowd.head(1):
+            break
+        left = checkpoint(pieces.join(crowd, ["minimiser", "segment"], "left_semi"))
     return out.groupBy("segment").agg(F.min("first").alias("first"), F.max("last").alias("last"))
 
 
@@ -342,7 +363,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     found = checkpoint(repeated_minimisers(occurrences(rows)), free=True)
     one = found.groupBy("minimiser", "segment").agg(F.sum("times").alias("n"), F.min(F.struct("rid", "start")).alias("place")).select("place.*", "minimiser", "segment", "n")
     one = checkpoint(crowded(one))
-    bounds = repeated_windows(checkpoint(extract(rows, one), free=True))
+    bounds = repeated_windows(rows, one)
     bounds = checkpoint(bounds.join(one.select("segment", "n"), "segment"))
     end = F.col("start") + (F.col("times") - 1) * F.col("count") + F.col("last") + WINDOW
     spans = spread_join(found.select("rid", "start", "count", "times", "segment"), bounds, "segment", "n").select("rid", F.struct((F.col("start") + F.col("first")).alias("start"), end.alias("end")).alias("span"))
@@ -372,7 +393,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 for text, spans in zip(part.column(2), part.column(3) if part.num_columns > 3 else repeat(None), strict=False):
                     words = text.as_buffer().to_pybytes().split()
                     total, left, upto = len(words), [], 0
-                    for s in (spans.as_py() if spans else None) or ():
+                    for s in (spans.as_py() if spans is not None else None) or ():
                         left += words[upto : s["start"]]
                         upto = max(upto, s["end"])
                     left += words[upto:]

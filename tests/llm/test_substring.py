@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from cairn.llm import common
 from cairn.llm import substring as ss
 from cairn.llm.fmindex import FMIndex
 
@@ -103,5 +104,12 @@ def test_many_segments_of_one_minimiser(spark, monkeypatch):
     assert sorted(str(tuple(x)) for x in ss.remove_repeats(frame).collect()) == brute(docs)
 
 
+def test_marks_by_chance_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(common, "BITMAP", 128)
+    docs = corpus(4)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(str(tuple(x)) for x in ss.remove_repeats(frame).collect()) == brute(docs)
+
+
 def test_no_rows(spark):
     assert ss.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
