@@ -8,11 +8,12 @@ import datetime as dt
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from cairn.config import BLOCK_DEFAULT, EngineConfig
+from cairn.config import BLOCK_DEFAULT, ROOT, EngineConfig
 from cairn.operators import codecs, gc, integrity, snapshots, usage
 from cairn.sources.catalog import PER_SUBVOLUME, Catalog
+from cairn.sources.shared import written
 
-COMMANDS = ("create", "list-subvol", "create-subvol", "remove-subvol", "create-snapshot", "remove-snapshot", "set-readonly", "unset-readonly", "remove-older-than", "count-older-than", "remove-by-plan", "count-by-plan", "created-today", "subvol-stats", "subvol-diff", "print-stats", "defragment", "verify", "rehash", "recompress", "vacuum")
+COMMANDS = ("create", "list-subvol", "create-subvol", "remove-subvol", "create-snapshot", "remove-snapshot", "freed-by-removal", "defragment-clustered", "set-readonly", "unset-readonly", "remove-older-than", "count-older-than", "remove-by-plan", "count-by-plan", "created-today", "subvol-stats", "subvol-diff", "print-stats", "defragment", "verify", "rehash", "recompress", "vacuum")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -48,11 +49,10 @@ def run(spark: SparkSession, argv: list[str]) -> object:
     subs, names = t("subvolume"), a.argument
 
     def drop(rows) -> int:
-        gone = [r.name for r in rows.select("name").collect()]  # a row for each snapshot to remove
-        kept, tables = subs, {n: t(n) for n in PER_SUBVOLUME}
-        for n in gone:
-            kept, tables = snapshots.remove(kept, tables, n)
-        c.write_all(tables | {"subvolume": kept})
+        gone = [r.id for r in rows.filter(F.col("name") != ROOT).select("id").collect()]  # a row for each snapshot to remove
+        c.write("subvolume", subs.filter(~F.col("id").isin(*gone)) if gone else subs)
+        for i in gone:  # nobody looks for them any more
+            c.drop_subvolume(i)
         return len(gone)
 
     def next_id() -> int:
@@ -67,10 +67,22 @@ def run(spark: SparkSession, argv: list[str]) -> object:
         case "create-subvol":
             c.write_all(dict(zip(("subvolume", "inode", "tree"), snapshots.create(subs, t("inode"), t("tree"), next_id(), names[0], now), strict=True)))
         case "create-snapshot":
-            kept, tables = snapshots.make(subs, {n: t(n) for n in PER_SUBVOLUME}, names[0], names[1], next_id(), now)
-            c.write_all(tables | {"subvolume": kept})
+            source, new = subs.filter(F.col("name") == names[0]).first(), next_id()
+            if source is None:
+                raise SystemExit(f"no subvolume {names[0]!r}")
+            c.drop_subvolume(new)  # what a run that was lost may have left
+            c.write_all({n: snapshots.copy(t(n), source.id, new) for n in PER_SUBVOLUME}, "append")
+            c.write("subvolume", snapshots.make(subs, {}, names[0], names[1], new, now)[0])
         case "remove-subvol" | "remove-snapshot":
             return drop(subs.filter(F.col("name") == names[0]))
+        case "freed-by-removal":
+            return snapshots.freed(t("inode_hash_block"), subs.filter((F.col("name") != ROOT) & F.col("name").isin(*names)).select(F.col("id").alias("subvol_id")), t("hash_sizes"))
+        case "defragment-clustered":
+            unused = gc.unused_by_count(t("hash_count"))
+            keys = {"hash": "id", "block": "hash_id", "hash_sizes": "hash_id", "hash_compression_type": "hash_id", "hash_owner": "hash_id", "hash_count": "hash_id"}
+            counts = {"hashes": unused.count()}
+            c.write_all({n: t(n).join(unused.withColumnRenamed("hash_id", k), k, "left_anti") for n, k in keys.items()})
+            return counts
         case "set-readonly" | "unset-readonly":
             c.write("subvolume", snapshots.readonly(subs, names[0], a.command == "set-readonly"))
         case "remove-older-than":
@@ -104,16 +116,9 @@ def run(spark: SparkSession, argv: list[str]) -> object:
         case "recompress":
             kinds = {n: i for i, n in enumerate(sorted(codecs.CODECS), 1)}
             made = integrity.recompress(_blocks(t), c.config)
-            place = f"{c.path('block')}.made"  # written once, so that sizes, codecs and payloads are of one run
-            made.write.mode("overwrite").parquet(place)
-            made = spark.read.parquet(place)
+            made = written(made, "recompress")  # once, so that sizes, codecs and payloads are of one run
             number = F.element_at(F.create_map(*[F.lit(x) for k in kinds.items() for x in k]), F.col("codec")).cast("long")
-            c.write("compression_type", spark.createDataFrame([(i, n) for n, i in kinds.items()], "id long, value string"))
-            c.write("hash_compression_type", made.select("hash_id", number.alias("type_id")))
-            c.write("hash_sizes", made.select("hash_id", "writed_size", "compressed_size"))
-            c.write("block", made.select("hash_id", "data"))
-            fs, at = c._fs(place)
-            fs.delete(at, True)
+            c.write_all({"compression_type": spark.createDataFrame([(i, n) for n, i in kinds.items()], "id long, value string"), "hash_compression_type": made.select("hash_id", number.alias("type_id")), "hash_sizes": made.select("hash_id", "writed_size", "compressed_size"), "block": made.select("hash_id", "data")})
         case "vacuum":
             return {n: c.vacuum(n) for n in ("block", "hash", "hash_sizes", "inode_hash_block", "inode", "tree", "name") if c.exists(n)}
     return None

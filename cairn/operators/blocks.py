@@ -61,12 +61,14 @@ def read_range(index: DataFrame, inode: str, number: str, data: str, block_size:
     end = F.least(offset + size, file_size)
     hit = index.filter((F.col(number) >= F.floor(offset / block_size)) & (F.col(number) * block_size < end))
     hit = hit.withColumn("_end", end).withColumn("_offset", offset)
-    parts = F.sort_array(F.collect_list(F.struct(F.col(number).alias("n"), F.hex(F.col(data)).alias("d"))))
+    parts = F.sort_array(F.collect_list(F.struct(F.col(number).cast("long").alias("n"), F.hex(F.col(data)).alias("d"))))
     got = hit.groupBy(inode).agg(parts.alias("_p"), F.first("_end").alias("_end"), F.first("_offset").alias("_offset"))
     lo, hi = F.floor(F.col("_offset") / block_size), F.floor((F.col("_end") - 1) / block_size)
-    have = F.map_from_entries("_p")
-    whole = F.array_join(F.transform(F.sequence(lo, hi), lambda i: F.rpad(F.coalesce(F.element_at(F.col("_m"), i), F.lit("")), 2 * block_size, "00")), "")
-    got = got.withColumn("_m", have).withColumn("_w", whole)
+    # each block is filled up to where the next one that exists begins; the first also from where the range begins
+    following = lambda i: F.coalesce(F.get(F.col("_p"), i + 1)["n"], hi + 1)
+    filled = F.transform("_p", lambda p, i: F.rpad(p["d"], ((following(i) - p["n"]) * (2 * block_size)).cast("int"), "00"))
+    before = F.repeat(F.lit("00"), ((F.get(F.col("_p"), F.lit(0))["n"] - lo) * block_size).cast("int"))
+    got = got.withColumn("_w", F.concat(before, F.array_join(filled, "")))
     skip = F.col("_offset") - lo * block_size
     return got.select(inode, F.unhex(F.substring("_w", (skip * 2 + 1).cast("int"), ((F.col("_end") - F.col("_offset")) * 2).cast("int"))).alias("data"))
 
@@ -99,3 +101,27 @@ def write_spans(writes: DataFrame, block_size: int) -> DataFrame:
     end = F.least(F.col("offset") + F.octet_length("data"), (F.col("block_number") + 1) * block_size)
     part = F.substring("data", (begin - F.col("offset") + 1).cast("int"), (end - begin).cast("int"))
     return out.withColumn("start", (begin - F.col("block_number") * block_size).cast("int")).withColumn("data", part)
+
+
+def merged_writes(stored: DataFrame, writes: DataFrame, block_size: int) -> DataFrame:
+    """Writes (inode_id, seq, offset, data) put into stored blocks (inode_id, block_number, data): the blocks that change, as they are then.
+
+    Of bytes written several times the last write's stay; a block's bytes that nothing has written are NULs. A block's writes are gathered, no file's.
+    """
+    spans = write_spans(writes, block_size).groupBy("inode_id", "block_number").agg(F.sort_array(F.collect_list(F.struct("seq", "start", "data"))).alias("_spans"))
+    old = spans.join(stored.select("inode_id", "block_number", F.col("data").alias("_old")), ["inode_id", "block_number"], "left")
+
+    def put(block: Column, span: Column) -> Column:
+        n = F.octet_length(span["data"])
+        whole = binary.pad_zeros(block, span["start"])
+        return F.concat(F.substring(whole, F.lit(1), span["start"]), span["data"], F.substring(whole, span["start"] + n + 1, F.lit(block_size)))
+
+    data = F.aggregate("_spans", F.coalesce("_old", F.lit(b"")), put)
+    return old.select("inode_id", "block_number", data.alias("data"))
+
+
+def rewritten(index: DataFrame, changed: DataFrame, hash_function: str = "md5") -> tuple[DataFrame, DataFrame]:
+    """Changed blocks (inode_id, block_number, data) -> the index (inode_id, block_number, digest, real_size) with their new rows, and the blocks to store, once each."""
+    own = changed.select("inode_id", "block_number", F.octet_length("data").cast("long").alias("real_size"), binary.trim_zeros(F.col("data")).alias("stored")).withColumn("digest", binary.digest(F.col("stored"), hash_function))
+    kept = index.join(own.select("inode_id", "block_number"), ["inode_id", "block_number"], "left_anti").select("inode_id", "block_number", "digest", "real_size")
+    return kept.unionByName(own.select("inode_id", "block_number", "digest", "real_size")), own.groupBy("digest").agg(F.first("stored").alias("stored"))

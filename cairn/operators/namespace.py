@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.access import DIRECTORY, REGULAR, SYMLINK
+from cairn.sources.shared import written
 
-DEPTH = 64
+DEPTH = 4095
 
 
-def paths(spark: SparkSession, tree: DataFrame, names: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """id, path, depth of every node that a root (null parent) leads to. One join by level, in one recursive query."""
-    tree.join(names.select(F.col("id").alias("name_id"), F.col("value").cast("string").alias("name")), "name_id").createOrReplaceTempView("_cairn_nodes")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(id, path, depth) MAX RECURSION LEVEL {depth} AS (
-          SELECT id, name, 0 FROM _cairn_nodes WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.id, concat(w.path, '/', n.name), w.depth + 1 FROM walk w JOIN _cairn_nodes n ON n.parent_id = w.id)
-        SELECT * FROM walk""")
+def paths(tree: DataFrame, names: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """id, path, depth of every node that a root (null parent) leads to, by pointer doubling: each round joins every node's path to that of the
+    ancestor it has reached, so that there are as many rounds as the depth has bits. Nodes without a way to a root, or deeper than `depth`, are left out."""
+    own = names.select(F.col("id").alias("name_id"), F.col("value").cast("string").alias("path"))
+    now = written(tree.select("id", F.col("parent_id").alias("up"), "name_id").join(own, "name_id").select("id", "up", "path", F.lit(0).alias("depth")), "paths")
+    for _ in range(depth.bit_length()):
+        if not now.filter("up is not null").head(1):
+            break
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("depth").alias("_depth"))
+        longer = now.filter("up is not null").join(above, "up").select("id", F.col("_up").alias("up"), F.concat_ws("/", "_path", "path").alias("path"), (F.col("depth") + F.col("_depth") + 1).alias("depth"))
+        now = written(now.filter("up is null").unionByName(longer), "paths")
+    return now.filter(F.col("up").isNull() & (F.col("depth") <= depth)).select("id", "path", "depth")
 
 
 def lookup(tree: DataFrame, names: DataFrame, inodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -124,3 +128,18 @@ def apply_setattr(inodes: DataFrame, changes: DataFrame, columns: tuple[str, ...
 def occupied(tree: DataFrame, inodes: DataFrame) -> DataFrame:
     """parent_id, n: how many linked entries each folder has; a folder that is not among them may be removed."""
     return tree.join(inodes.filter("nlinks <> 0").select(F.col("id").alias("inode_id")), "inode_id", "left_semi").groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def refused(tree: DataFrame, inodes: DataFrame, events: DataFrame) -> DataFrame:
+    """The rmdir events (seq, node_id) of folders that have linked entries when they come: entries of the tree, or made or moved there before, that no event has taken
+    away or elsewhere by then. They must not be applied: a folder that isn't empty stays."""
+    asked = events.filter(F.col("op") == "rmdir").select(F.col("seq").alias("_seq"), F.col("node_id").alias("_folder"))
+    gone = inodes.filter("nlinks = 0").select(F.col("id").alias("inode_id"))
+    old = tree.join(gone, "inode_id", "left_anti").select(F.lit(-1).cast("long").alias("seq"), F.col("id").alias("node_id"), F.col("parent_id").alias("place"))
+    moved = events.filter(F.col("op").isin("create", "mkdir", "symlink", "link", "rename", "unlink", "rmdir"))
+    moved = moved.select(F.col("seq").cast("long").alias("seq"), "node_id", F.when(~F.col("op").isin("unlink", "rmdir"), F.col("parent_id")).alias("place"))
+    steps = old.unionByName(moved)
+    inside = steps.join(asked, steps["place"] == asked["_folder"], "left_semi").select("node_id").distinct()  # nodes that ever were in such a folder
+    until = steps.join(inside, "node_id", "left_semi").withColumn("_until", F.lead("seq").over(Window.partitionBy("node_id").orderBy("seq")))
+    full = until.join(asked, (until["place"] == asked["_folder"]) & (until["seq"] < asked["_seq"]) & (F.coalesce(until["_until"], F.lit(2**62)) > asked["_seq"]))
+    return full.select(F.col("_seq").alias("seq"), F.col("_folder").alias("node_id")).distinct()

@@ -63,6 +63,14 @@ def remove(subvolumes: DataFrame, tables: dict[str, DataFrame], name: str) -> tu
     return subvolumes.filter(F.col("name") != name), {k: t.join(gone, "subvol_id", "left_anti") for k, t in tables.items()}
 
 
+def freed(index: DataFrame, gone: DataFrame, sizes: DataFrame) -> DataFrame:
+    """What the removal of subvolumes (subvol_id) sets free: hashes that no other has, their bytes as written and as stored."""
+    own = F.broadcast(gone.select("subvol_id"))  # a row for each snapshot to remove
+    alone = index.join(own, "subvol_id", "left_semi").select("hash_id").distinct().join(index.join(own, "subvol_id", "left_anti").select("hash_id"), "hash_id", "left_anti")
+    both = alone.join(sizes.select("hash_id", "writed_size", "compressed_size"), "hash_id", "left")
+    return both.agg(F.count(F.lit(1)).alias("hashes"), F.coalesce(F.sum("writed_size"), F.lit(0)).alias("writed_size"), F.coalesce(F.sum("compressed_size"), F.lit(0)).alias("compressed_size"))
+
+
 def readonly(subvolumes: DataFrame, name: str, flag: bool) -> DataFrame:
     return subvolumes.withColumn("readonly", F.when(F.col("name") == name, F.lit(flag)).otherwise(F.col("readonly")))
 

@@ -54,7 +54,7 @@ def index(spark: SparkSession, d: str) -> DataFrame:
 
 def inodes(spark: SparkSession, d: str) -> DataFrame:
     """orders as inodes; an order that is through (F) has no links. Its size is its price."""
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).cast("long").alias("nlinks"), long("o_totalprice").alias("size"), "o_custkey")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).cast("long").alias("nlinks"), long("o_totalprice").alias("size"), "o_custkey", F.col("o_orderpriority").alias("priority"))
 
 
 def subvolume_of_inode(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +89,7 @@ INDEX = (
     + """, idx AS (SELECT inode_id, block_number, hash_id, real_size, l_suppkey FROM log
   QUALIFY row_number() OVER (PARTITION BY inode_id, block_number ORDER BY l_shipdate DESC, hash_id DESC, l_suppkey DESC, real_size DESC, l_extendedprice DESC) = 1)"""
 )
-INODES = """inodes AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS nlinks, CAST(floor(o_totalprice) AS BIGINT) AS size, c_nationkey AS subvol FROM orders JOIN customer ON o_custkey = c_custkey)"""
+INODES = """inodes AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS nlinks, CAST(floor(o_totalprice) AS BIGINT) AS size, c_nationkey AS subvol, o_orderpriority AS priority FROM orders JOIN customer ON o_custkey = c_custkey)"""
 SIZES = """sizes AS (SELECT p_partkey AS hash_id, CAST(floor(p_retailprice) AS BIGINT) AS writed_size, CAST(p_size AS BIGINT) * 10 AS compressed_size, p_brand AS codec FROM part)"""
 NATION_INDEX = f"{INDEX}, {INODES}, nidx AS (SELECT subvol, inode_id, block_number, hash_id, real_size FROM idx JOIN inodes ON inode_id = id)"
 CHUNKS = f"""files AS (SELECT doc_id, lang, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -119,11 +119,12 @@ def blocks_dedup_write(spark, d):
     return found.select("digest", "doc_id", "block_number")
 
 
-@query(f"{CHUNKS} SELECT count(DISTINCT digest) AS digests, CAST(0 AS BIGINT) AS collided FROM blocks")
+@query(f"{CHUNKS} SELECT count(DISTINCT digest) AS digests, (SELECT count(*) FROM (SELECT 1 FROM blocks GROUP BY substring(digest, 1, 3) HAVING count(DISTINCT digest) > 1)) AS collided FROM blocks")
 def blocks_collision_check(spark, d):
     own = document_blocks(spark, d)
-    all_ = own.groupBy("digest").agg(F.count_distinct(F.sha2("stored", 256)).alias("contents"))
-    return all_.agg(F.count(F.lit(1)).alias("digests"), F.count(F.when(F.col("contents") > 1, 1)).alias("collided"))
+    short = own.select(F.substring("digest", 1, 3).alias("digest"), "stored")  # so few digits that there are collisions
+    every = own.agg(F.count_distinct("digest").alias("digests"))
+    return every.crossJoin(F.broadcast(blocks.collisions(short).agg(F.count(F.lit(1)).alias("collided"))))  # one row each
 
 
 @query(f"{INDEX} SELECT inode_id, block_number, hash_id, real_size FROM idx")
@@ -266,18 +267,21 @@ def hash_refcounts_writes(spark, d):
     return usage.write_refcounts(write_log(spark, d), index(spark, d))
 
 
-DEAD = f"{INDEX}, {INODES}, live AS (SELECT idx.* FROM idx JOIN inodes ON id = inode_id WHERE nlinks > 0 AND id % 16 = 0)"
+DEAD = f"{INDEX}, {INODES}, live AS (SELECT idx.* FROM idx JOIN inodes ON id = inode_id WHERE nlinks > 0 AND priority = '1-URGENT')"
+
+
+LIVE = "nlinks > 0 and priority = '1-URGENT'"
 
 
 def live_index(spark, d):
-    """Index rows of linked inodes, of which only every sixteenth is left, so that there are hashes without any."""
-    return gc.alive(index(spark, d), inodes(spark, d).filter("nlinks > 0 and id % 16 = 0"), "inode_id", "id")
+    """Index rows of the linked inodes that are urgent; the others' files are gone, so that there are hashes without any."""
+    return gc.alive(index(spark, d), inodes(spark, d).filter(LIVE), "inode_id", "id")
 
 
-@query(f"{DEAD} SELECT hash_id FROM (SELECT hash_id, 1 AS delta FROM idx UNION ALL SELECT idx.hash_id, -1 FROM idx JOIN inodes ON id = inode_id WHERE nlinks = 0 OR id % 16 <> 0) GROUP BY 1 HAVING sum(delta) <= 0")
+@query(f"{DEAD} SELECT hash_id FROM (SELECT hash_id, 1 AS delta FROM idx UNION ALL SELECT idx.hash_id, -1 FROM idx JOIN inodes ON id = inode_id WHERE nlinks = 0 OR priority <> '1-URGENT') GROUP BY 1 HAVING sum(delta) <= 0")
 def unused_hashes(spark, d):
     own = index(spark, d)
-    gone = gc.alive(own, inodes(spark, d).filter("nlinks = 0 or id % 16 <> 0"), "inode_id", "id")
+    gone = gc.alive(own, inodes(spark, d).filter(f"not ({LIVE})"), "inode_id", "id")
     return gc.unused_by_count(own.select("hash_id", F.lit(1).alias("delta")).unionByName(gone.select("hash_id", F.lit(-1).alias("delta"))))
 
 
@@ -308,13 +312,14 @@ def operation_throughput(spark, d):
 # ---- garbage and integrity
 
 
-@query("""n AS (SELECT DISTINCT unnest(string_split(url, '/')) AS name FROM pages), live AS (SELECT DISTINCT unnest(string_split(url, '/')) AS name FROM pages WHERE page_id % 3 = 0)
+@query("""n AS (SELECT DISTINCT unnest(string_split(url, '/')) AS name FROM pages), live AS (SELECT DISTINCT unnest(string_split(url, '/')) AS name FROM pages WHERE length(html) > 2000)
 SELECT md5(name) AS hash, name AS value FROM n WHERE name NOT IN (SELECT name FROM live)""")
 def gc_names(spark, d):
-    pieces = table(spark, d, "pages").select("page_id", F.explode(F.split("url", "/")).alias("name"))
-    names = namespace.intern(pieces, "name")
-    tree = pieces.filter("page_id % 3 = 0").select(F.md5(F.col("name").cast("binary")).alias("name_id"))
-    return gc.dead(names, tree, "hash", "name_id")
+    """Names of pages of which no page with much to it has a part."""
+    pieces = table(spark, d, "pages").select(F.length("html").alias("size"), F.explode(F.split("url", "/")).alias("name"))
+    names = namespace.intern(pieces, "name").withColumnRenamed("hash", "id")
+    tree = pieces.filter("size > 2000").select(F.md5(F.col("name").cast("binary")).alias("name_id"))
+    return gc.dead_names(names, tree).withColumnRenamed("id", "hash")
 
 
 @query(f"{DEAD} SELECT id FROM inodes WHERE id NOT IN (SELECT inode_id FROM idx)")
@@ -349,7 +354,7 @@ UNION ALL SELECT 'hash_sizes', count(*), count(*) FILTER (WHERE hash_id NOT IN (
 def gc_summary(spark, d):
     i, x, s = inodes(spark, d), index(spark, d), sizes(spark, d)
     live = live_index(spark, d)
-    return gc.summary({"inode": (i, i.filter("nlinks = 0")), "inode_hash_block": (x, gc.dead_of_inodes(x, i.filter("nlinks > 0 and id % 16 = 0"))), "hash_sizes": (s, gc.dead_hashes(s, live))})
+    return gc.summary({"inode": (i, i.filter("nlinks = 0")), "inode_hash_block": (x, gc.dead_of_inodes(x, i.filter(LIVE))), "hash_sizes": (s, gc.dead_hashes(s, live))})
 
 
 def stored_documents(spark, d):
@@ -410,7 +415,7 @@ UNION ALL SELECT n_nationkey + 100, n_regionkey + 1, n_name FROM nation UNION AL
 
 @query(f"{TREE}, walk AS (SELECT id, name AS path, 0 AS depth FROM nodes WHERE parent_id IS NULL UNION ALL SELECT n.id, w.path || '/' || n.name, depth + 1 FROM walk w JOIN nodes n ON n.parent_id = w.id) SELECT id, path, depth FROM walk")
 def tree_paths(spark, d):
-    return namespace.paths(spark, *tree_and_names(spark, d))
+    return namespace.paths(*tree_and_names(spark, d))
 
 
 @query("c AS (SELECT c_custkey + 1000 AS id, c_name AS name, CAST(33188 AS BIGINT) AS mode, CAST(floor(c_acctbal) AS BIGINT) AS size FROM customer WHERE c_nationkey = 5 AND c_custkey > 200 ORDER BY c_custkey LIMIT 20) SELECT id, name, id AS inode_id, mode, size FROM c")
@@ -585,7 +590,7 @@ def _drained(stream: DataFrame, mode: str) -> DataFrame:
 def stream_dedup(spark, d):
     """New digests of a replayed stream, once each."""
     rows = _stream(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), F.md5(F.concat("event_type", F.col("user_id").cast("string")).cast("binary")).alias("digest"))
-    return _drained(rows.dropDuplicates(["digest"]).select("digest"), "append")
+    return _drained(jobs.dedup_stream(rows, lateness="1 hour").select("digest"), "append")
 
 
 @query("x AS (SELECT user_id, max([event_id]) AS m, max(ts) AS ts FROM events GROUP BY 1) SELECT x.user_id, x.ts, e.event_type FROM x JOIN events e ON e.user_id = x.user_id AND e.ts = x.ts")
