@@ -596,3 +596,6 @@ def stream_dedup(spark, d):
 @query("x AS (SELECT user_id, max([event_id]) AS m, max(ts) AS ts FROM events GROUP BY 1) SELECT x.user_id, x.ts, e.event_type FROM x JOIN events e ON e.user_id = x.user_id AND e.ts = x.ts")
 def stream_last_wins(spark, d):
     return _drained(jobs.last_state(_stream(spark, d).select("user_id", "ts", "event_type"), "user_id", "ts"), "complete")
+
+
+from cairn.plans import table_queries  # noqa: E402, F401  (adds its queries)
