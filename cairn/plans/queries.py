@@ -132,12 +132,15 @@ def index_last_write_wins(spark, d):
     return index(spark, d).drop("l_suppkey")
 
 
-@query("x AS (SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS s FROM conversations WHERE turn BETWEEN 1 AND 3 GROUP BY 1) SELECT conv_id, md5(s) AS digest, CAST(strlen(s) AS BIGINT) AS size FROM x")
+@query(f"{CHUNKS}, w AS (SELECT doc_id, substring(h, 1001, 3000) AS x FROM files WHERE length(h) > 1000) SELECT doc_id, md5(unhex(x)) AS digest, CAST(length(x) / 2 AS BIGINT) AS size FROM w")
 def index_range_read(spark, d):
-    rows = table(spark, d, "conversations").filter("turn between 1 and 3")
-    parts = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t"))))
-    whole = rows.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("s"))
-    return whole.select("conv_id", F.md5(F.encode("s", "UTF-8")).alias("digest"), F.octet_length("s").cast("long").alias("size"))
+    """Bytes 500 to 2000 of every file, by its index rows and the blocks that are stored once for each digest."""
+    own = document_blocks(spark, d)
+    stored = own.select("digest", "stored").dropDuplicates(["digest"])
+    whole = files(spark, d).select("doc_id", F.octet_length("data").cast("long").alias("size"))
+    rows = own.select("doc_id", "block_number", "digest").filter("block_number < 2").join(stored, "digest").join(whole, "doc_id")
+    got = blocks.read_range(rows, "doc_id", "block_number", "stored", B, F.lit(500), F.lit(1500), F.col("size")).filter(F.octet_length("data") > 0)
+    return got.select("doc_id", F.md5("data").alias("digest"), F.octet_length("data").cast("long").alias("size"))
 
 
 @query(f"files AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents) SELECT doc_id, substring(h, 2001, 4000) AS data FROM files WHERE length(h) > 2000")
