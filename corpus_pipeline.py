@@ -47,7 +47,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; what lies between them is written under the shared checkpoint folder."""
+    """The stages applied to documents; what lies between them is written under the shared checkpoint folder, and goes when the stage after it has been written."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
@@ -55,4 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{i}_{name}")
             docs = spark.read.parquet(f"{folder}/{i}_{name}")
+            if i:
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}_{STAGES[i - 1][0]}")
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return docs
