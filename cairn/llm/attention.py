@@ -14,6 +14,10 @@ import numpy as np
 T, S = 32, 24
 D, CLASSES = 16, 96
 BATCH = 64
+#: The step's size at the beginning of training.
+RATE = 1.4e-2
+#: Columns of a token's row in the table that is read at every place.
+KEY, VALUE, QUERY, ADDED = slice(D), slice(D, 2 * D + 1), slice(2 * D + 1, 3 * D + 1), slice(3 * D + 1, 4 * D + 1)
 
 
 def _mix(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -92,16 +96,18 @@ class Attention:
         a.late = np.where(a.distance > 0, np.float32(-1e9), np.float32(0))
         return a
 
-    def _attend(self, seen: np.ndarray, keep: dict | None = None, most: float = np.inf) -> np.ndarray:
-        """(windows, T) token before each place -> what the last S places know of the text, (windows * S, D). most: a limit to what goes into exp."""
+    def _table(self) -> np.ndarray:
+        """A row for each token: key, value, a one (so that one product gives the weights' sum too), query, and what the last token adds."""
         p = self.p
-        kind = p["v"].dtype
-        last = seen[:, T - S :]
-        table = np.ones((len(p["v"]), D + 1), kind)  # a column of ones gives the sum of the weights
-        table[:, :D] = p["v"]
-        q, k, v = (p["q"] * kind.type(1 / np.sqrt(D)))[last], p["k"][seen], table[seen]
+        return np.concatenate([p["k"], p["v"], np.ones((len(p["v"]), 1), p["v"].dtype), p["q"], p["r"]], axis=1)
+
+    def _attend(self, seen: np.ndarray, table: np.ndarray, keep: dict | None = None, most: float = np.inf) -> np.ndarray:
+        """(windows, T) token before each place -> what the last S places know of the text, (windows * S, D). most: a limit to what goes into exp."""
+        kind = table.dtype
+        row = table.take(seen, axis=0)
+        q, k, v = row[:, T - S :, QUERY] * kind.type(1 / np.sqrt(D)), row[..., KEY], row[..., VALUE]
         a = q @ k.transpose(0, 2, 1)
-        a += p["near"][np.minimum(self.distance, 0) + T - 1] + self.late
+        a += self.p["near"][np.minimum(self.distance, 0) + T - 1] + self.late
         if (seen[:, 0] == self.v).any():
             a += np.where(seen == self.v, np.float32(-1e4), np.float32(0))[:, None, :]
             a -= a.max(axis=2, keepdims=True)  # where all that is seen lies before the text
@@ -111,17 +117,17 @@ class Attention:
         h = a @ v
         total = h[..., D:]
         if most == np.inf and not np.isfinite(total).all():  # hardly ever
-            return self._attend(seen, keep, 60.0)
+            return self._attend(seen, table, keep, 60.0)
         h = h[..., :D] / total
-        h += p["r"][last]
         if keep is not None:
             a /= total
-            keep |= {"last": last, "q": q, "k": k, "v": v[..., :D], "a": a, "h": h}
+            keep |= {"q": q, "k": k, "v": v[..., :D], "a": a, "read": h.copy()}
+        h += row[:, T - S :, ADDED]
         return h.reshape(-1, D)
 
     def _logits(self, h: np.ndarray, last: np.ndarray) -> np.ndarray:
         z = h @ self.p["w"]
-        z += self.log_share[np.minimum(last, self.v - 1)]
+        z += self.log_share.take(last, axis=0, mode="clip")
         return z
 
     def _sums(self, h: np.ndarray, last: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +146,7 @@ class Attention:
     def _forward(self, seen: np.ndarray) -> np.ndarray:
         """(windows, T) token before each place -> log P(class) at the last S places."""
         last = seen[:, T - S :].reshape(-1)
-        h = self._attend(seen)
+        h = self._attend(seen, self._table())
         _, e, sums = self._sums(h, last, np.zeros(len(h), np.int64))
         return np.log(e / sums).reshape(len(seen), S, -1)
 
@@ -152,6 +158,7 @@ class Attention:
         before[T + first[:-1]] = end
         out = np.empty(len(tokens), np.float64)
         at, start = windows(first)
+        table = self._table()
         stop = np.minimum(at + S, first[np.searchsorted(first, start, "right")])
         for i in range(0, len(at), BATCH):
             a = at[i : i + BATCH]
@@ -159,7 +166,7 @@ class Attention:
             seen = before[place + T]
             if (early := place[:, :1] < start[i : i + BATCH, None]).any():
                 seen[early[:, 0]] = np.where(place[early[:, 0]] >= start[i : i + BATCH][early[:, 0], None], seen[early[:, 0]], self.v)
-            h = self._attend(seen)
+            h = self._attend(seen, table)
             scored = place[:, T - S :]
             good = (scored < stop[i : i + BATCH, None]).reshape(-1)
             where, x = scored.reshape(-1)[good], seen[:, T - S :].reshape(-1)[good]
@@ -169,43 +176,68 @@ class Attention:
             out[where] = own - np.log(sums[:, 0]) + self.log_pair[x, y] - self.log_share[x, c]
         return out / np.log(10)
 
-    def train(self, seen: np.ndarray, target: np.ndarray, moments: dict[str, list], size: int = 64, rate: float = 6e-3, seed: int = 1) -> None:
+    def train(self, seen: np.ndarray, target: np.ndarray, moments: dict[str, np.ndarray], size: int = 128, rate: float = RATE, seed: int = 1) -> None:
         """One pass of Adam over all windows. seen: (windows, T) tokens before each place; target: (windows, S) classes, -1 where nothing is scored.
 
-        moments: what Adam remembers from one call to the next; empty at first."""
-        order = np.random.default_rng(seed).permutation(len(seen))
+        moments: what Adam remembers from one call to the next; empty at first. A token's row changes in the steps that see the token."""
+        table, order = self._table(), np.random.default_rng(seed).permutation(len(seen))
         for part in np.array_split(order, -(-len(order) // size)) if len(order) else []:
-            for name, g in self._gradients(seen[part], target[part]).items():
-                m, v, step = moments.setdefault(name, [np.zeros_like(g), np.zeros_like(g), 0])
-                moments[name][2] = step = step + 1
-                m *= np.float32(0.9)
-                m += np.float32(0.1) * g
-                v *= np.float32(0.99)
-                v += np.float32(0.01) * (g * g)
-                self.p[name] -= np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(v * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-6))
-
-    def _gradients(self, seen: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
-        p, kept = self.p, {}
+            rows, by_row, rest = self._parts(seen[part], target[part], table)
+            _adam(moments, "table", table, rows, by_row, rate)
+            for name, g in rest.items():
+                _adam(moments, name, self.p[name].reshape(1, -1), np.zeros(1, np.int64), g.reshape(1, -1), rate)
+        self.p |= {name: np.ascontiguousarray(table[:, at]) for name, at in (("k", KEY), ("v", slice(D, 2 * D)), ("q", QUERY), ("r", ADDED))}
+
+    def _parts(self, seen: np.ndarray, target: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """Gradients: the tokens seen, of each its row's, and those of the weights without tokens."""
+        kept: dict[str, np.ndarray] = {}
         flat = target.reshape(-1)
         good = flat >= 0
-        x = self._attend(seen, kept)
+        x = self._attend(seen, table, kept)
         _, dz, sums = self._sums(x, seen[:, T - S :].reshape(-1), np.maximum(flat, 0))
         dz *= np.where(good, 1.0 / max(1, good.sum()), 0.0).astype(dz.dtype)[:, None] / sums
         dz[np.flatnonzero(good), flat[good]] -= dz.dtype.type(1.0 / max(1, good.sum()))
-        h, a, q, k, v, last = (kept[n] for n in ("h", "a", "q", "k", "v", "last"))
-        g = {"w": x.T @ dz}
-        dh = (dz @ p["w"].T).reshape(h.shape)
+        a, q, k, v, read = (kept[n] for n in ("a", "q", "k", "v", "read"))
+        dh = (dz @ self.p["w"].T).reshape(read.shape)
         ds = dh @ v.transpose(0, 2, 1)
+        ds -= np.einsum("nsd,nsd->ns", dh, read)[..., None]
         ds *= a
-        ds -= a * ds.sum(axis=2, keepdims=True)
-        g["near"] = np.bincount((np.minimum(self.distance, 0) + T - 1).ravel(), np.where(self.distance > 0, 0, ds.sum(axis=0)).ravel(), T).astype(np.float32)
-        scale = ds.dtype.type(1 / np.sqrt(D))
-        g["v"], g["k"] = self._by_token(seen, a.transpose(0, 2, 1) @ dh, ds.transpose(0, 2, 1) @ q)  # q is scaled already
-        g["r"], g["q"] = self._by_token(last, dh, (ds @ k) * scale)
-        return g
-
-    def _by_token(self, ids: np.ndarray, *parts: np.ndarray) -> list[np.ndarray]:
-        """Gradients at places, summed by the token there."""
-        ids = ids.reshape(-1)
-        columns = (np.ascontiguousarray(d.reshape(-1, D).T) for d in parts)
-        return [np.stack([np.bincount(ids, x, self.v + 1) for x in d], axis=1).astype(d.dtype) for d in columns]
+        near = np.bincount((np.minimum(self.distance, 0) + T - 1).ravel(), np.where(self.distance > 0, 0, ds.sum(axis=0)).ravel(), T).astype(ds.dtype)
+        g = np.zeros((*seen.shape, table.shape[1]), ds.dtype)
+        g[..., KEY] = ds.transpose(0, 2, 1) @ q  # q is scaled already
+        g[..., D : 2 * D] = a.transpose(0, 2, 1) @ dh
+        g[:, T - S :, QUERY] = (ds @ k) * ds.dtype.type(1 / np.sqrt(D))
+        g[:, T - S :, ADDED] = dh
+        ids = seen.reshape(-1).astype(np.uint16 if self.v < 1 << 16 else np.int64)
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        begin = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        return ids[begin].astype(np.int64), np.add.reduceat(g.reshape(len(ids), -1).take(order, axis=0), begin, axis=0), {"w": x.T @ dz, "near": near}
+
+    def _gradients(self, seen: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of all weights, with a row for every token."""
+        table = self._table()
+        rows, by_row, rest = self._parts(seen, target, table)
+        every = np.zeros_like(table)
+        every[rows] = by_row
+        return rest | {"k": every[:, KEY], "v": every[:, D : 2 * D], "q": every[:, QUERY], "r": every[:, ADDED]}
+
+
+def _adam(moments: dict[str, np.ndarray], name: str, weights: np.ndarray, rows: np.ndarray, g: np.ndarray, rate: float) -> None:
+    """A step of Adam on some rows, in place; each row counts its own steps."""
+    if name not in moments:
+        moments |= {name: np.zeros((2, *weights.shape), np.float32), name + " steps": np.zeros(len(weights), np.int64)}
+    (m, v), steps = moments[name], moments[name + " steps"]
+    steps[rows] += 1
+    mean, square = m.take(rows, axis=0), v.take(rows, axis=0)
+    mean += np.float32(0.1) * (g - mean)
+    m[rows] = mean
+    square += np.float32(0.01) * (g * g - square)
+    v[rows] = square
+    n = steps[rows][:, None]
+    square *= (1 / (1 - 0.99**n)).astype(np.float32)
+    np.sqrt(square, out=square)
+    square += np.float32(1e-6)
+    mean /= square
+    mean *= (rate / (1 - 0.9**n)).astype(np.float32)
+    weights[rows] -= mean

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.attention import S, T, Attention, windows
+from cairn.llm.attention import RATE, S, T, Attention, windows
 from cairn.llm.bpe import END as MARKED
 from cairn.llm.bpe import vocabulary
 from cairn.llm.common import checkpoint
@@ -217,14 +217,14 @@ def train_round(prepared: DataFrame, model: Attention, spelling: Spelling, step:
     """
     sc = prepared.sparkSession.sparkContext
     shared = sc.broadcast((model.p | {"log_share": model.log_share, "own": model.own}, spelling.size, spelling.at, spelling.flat, spelling.end))
-    rate = 6e-3 * (1 - 0.95 * step / max(1, ROUNDS - 1))
+    rate = RATE * (1 - 0.95 * step / max(1, ROUNDS - 1))
     names = sorted(model.p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, size, at, flat, end = shared.value
         net, words = Attention.of({k: w.copy() for k, w in weights.items()}), Spelling.__new__(Spelling)
         words.size, words.at, words.flat, words.end = size, at, flat, end
-        moments: dict[str, list] = {}
+        moments: dict[str, np.ndarray] = {}
         portion: list[np.ndarray] = []
         times, held, part = np.zeros(net.v + 1), 0, None
 
