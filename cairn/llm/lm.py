@@ -34,6 +34,8 @@ from cairn.llm.substring import _spans, keyed, portions, words_of
 TOP, TOP_WORDS = 1536, 1 << 17
 #: Rounds of training (each document is in one of them), and tasks that sum up what a round's tasks have learned.
 ROUNDS, SUMMED = 4, 8
+#: Tokens that a training task should have in a round: of fewer its weights hardly leave those it began with, and their average stays behind.
+ENOUGH = 250_000
 #: The weights that have a row for each token.
 OF_TOKENS = "qkvr"
 #: Tokens of whole documents whose windows are mixed while training.
@@ -193,8 +195,9 @@ def fit(prepared: DataFrame, path: str) -> tuple[Attention, Spelling]:
         word = spelling.flat[spelling.at[i] : spelling.at[i] + spelling.size[i]]
         np.add.at(table, (word[:-1], word[1:]), n)
     model = Attention(table)
+    tasks = 1 + int(table.sum()) // (ROUNDS * ENOUGH)  # a partition more than this many is read together with others
     for step in range(ROUNDS):
-        train_round(prepared, model, spelling, step)
+        train_round(prepared, model, spelling, step, tasks)
     return model, spelling
 
 
@@ -210,8 +213,8 @@ def training_windows(model: Attention, spelling: Spelling, texts: list[np.ndarra
     return seen, np.where(scored < stop[:, None], model.own[tokens[np.clip(scored, 0, len(tokens) - 1)]], -1)
 
 
-def train_round(prepared: DataFrame, model: Attention, spelling: Spelling, step: int) -> int:
-    """Train the model's weights on all training documents of a round; returns how many tokens (ends included) they had.
+def train_round(prepared: DataFrame, model: Attention, spelling: Spelling, step: int, tasks: int = 1 << 30) -> int:
+    """Train the model's weights on all training documents of a round, in at most so many tasks; returns how many tokens (ends included) they had.
 
     A task's weights count by the tokens it has trained on, those of a token by how often the task has seen it.
     """
@@ -261,7 +264,7 @@ def train_round(prepared: DataFrame, model: Attention, spelling: Spelling, step:
             yield pa.record_batch([pa.array([n], pa.int64()), pa.array([times.tobytes()]), pa.array([learned.tobytes()])], ["n", "times", "learned"])
 
     docs = prepared.filter("kind = 0 and not held_out").filter(F.pmod(F.xxhash64("id", "rid"), F.lit(ROUNDS)) == step)
-    docs = docs.select(F.spark_partition_id().alias("part"), "ids")
+    docs = docs.select("ids").coalesce(tasks).select(F.spark_partition_id().alias("part"), "ids")
     sums = docs.mapInArrow(run, "part int, n long, times binary, learned binary").repartition(SUMMED, "part").sortWithinPartitions("part")
     rows = checkpoint(sums.mapInArrow(add, "n long, times binary, learned binary")).collect()
     shared.unpersist()
