@@ -219,7 +219,7 @@ def train_round(prepared: DataFrame, model: Attention, spelling: Spelling, step:
     A task's weights count by the tokens it has trained on, those of a token by how often the task has seen it.
     """
     sc = prepared.sparkSession.sparkContext
-    shared = sc.broadcast((model.p | {"log_share": model.log_share, "own": model.own}, spelling.size, spelling.at, spelling.flat, spelling.end))
+    shared = sc.broadcast((model.shared(), spelling.size, spelling.at, spelling.flat, spelling.end))
     rate = RATE * (1 - 0.95 * step / max(1, ROUNDS - 1))
     names = sorted(model.p)
 

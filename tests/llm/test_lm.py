@@ -135,3 +135,26 @@ def test_no_rows_and_no_training(spark):
     i = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     only = lm.score_documents(spark.createDataFrame([(i, "a b")], "doc_id long, text string"), WORD_BPE).first()
     assert only.held_out and only.train_tokens == 0 and only.n_known == 0 and only.base_score == 0
+
+
+def test_a_token_costs_one_groups_classes(monkeypatch):
+    """Scoring takes exps of the groups and of one group's classes, not of every class."""
+    r = np.random.default_rng(3)
+    m = at.Attention(r.integers(0, 6, (400, 400)).astype(float))
+    taken, exp = [], np.exp
+    monkeypatch.setattr(at.np, "exp", lambda x, *a, **k: taken.append(np.size(x)) or exp(x, *a, **k))
+    n = 24 * at.S
+    m.log_probs(r.integers(0, 399, n), np.array([0, n]), 399)
+    classes = m.p["w"].shape[1]
+    assert classes > 64 and sum(taken) / n <= at.T + classes / 4
+    assert max(np.bincount(m.group)) - min(np.bincount(m.group)) <= 1 and len(np.bincount(m.group)) == at.GROUPS
+
+
+def test_runs_summed_in_twos_equal_single_sums():
+    m = small_model()
+    r = np.random.default_rng(6)
+    seen, target = r.integers(0, 12, (20, at.T)), r.integers(0, m.p["w"].shape[1], (20, at.S))
+    together = m._gradients(seen, target)
+    apart = [m._gradients(seen[i : i + 1], target[i : i + 1]) for i in range(20)]
+    for k, g in together.items():
+        assert np.allclose(g, sum(x[k] for x in apart) / 20, atol=1e-6), k
